@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.numbers import fixed
 from corpusmill.operators.formats import WRITERS, render
 
 # Field names that carry running text, and the order in which formats are tried.
@@ -203,9 +204,9 @@ def detect_formats(fields: DataFrame) -> DataFrame:
         F.when(
             weak,
             F.format_string(
-                "No strong pattern detected (best match: %s at %.2f). Falling back to corpus format.",
+                "No strong pattern detected (best match: %s at %s). Falling back to corpus format.",
                 best["format"],
-                best["confidence"],
+                fixed(best["confidence"], 2),
             ),
         )
         .otherwise(best["reasoning"])

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.numbers import fixed
+
 
 def _problems(rows: DataFrame, mapping: Mapping[str, str]) -> list[Column]:
     """One struct per mapped column, null where the row is fine."""
@@ -41,18 +43,19 @@ def mapping_report(rows: DataFrame, mapping: Mapping[str, str], *, by: Sequence[
     coverage = F.when(total > 0, (total - invalid) / F.greatest(total, F.lit(1)) * 100.0).otherwise(0.0)
     report = counts.withColumn("valid_records", total - invalid).withColumn("coverage_pct", coverage)
     pct = F.col("coverage_pct")
+    shown = fixed(pct, 1)
     warning = (
         F.when(pct == 100.0, F.lit(None).cast("string"))
         .when(
             pct >= 99.0,
             F.format_string(
-                "Coverage is %.1f%% — auto-approved with notification. %d record(s) have issues.", pct, invalid
+                "Coverage is %s%% — auto-approved with notification. %d record(s) have issues.", shown, invalid
             ),
         )
         .when(
             pct >= 95.0,
-            F.format_string("Coverage is %.1f%% — needs explicit approval. %d record(s) have issues.", pct, invalid),
+            F.format_string("Coverage is %s%% — needs explicit approval. %d record(s) have issues.", shown, invalid),
         )
-        .otherwise(F.format_string("Coverage is %.1f%% — blocked. Too many invalid records (%d/%d).", pct, invalid, total))
+        .otherwise(F.format_string("Coverage is %s%% — blocked. Too many invalid records (%d/%d).", shown, invalid, total))
     )
     return report.withColumn("approved", pct >= 99.0).withColumn("warning", warning)

@@ -8,7 +8,7 @@ rows are spread over groups.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,31 +56,30 @@ def with_position(
 
 def with_minimum_before(
     df: DataFrame,
-    value: Column,
+    values: Mapping[str, Column],
     *,
     order_by: str,
     within: Sequence[str] = (),
     segment: int = SEGMENT,
-    name: str = "minimum_before",
 ) -> DataFrame:
-    """Add the least ``value`` among earlier rows of the group (null where there is none).
-
-    Same two levels: minima per segment run over the small table, rows only over their segment.
-    """
-    rows = df.withColumn("_value", value).withColumn("_segment", segment_of(order_by, segment))
-    lows = rows.groupBy(*within, "_segment").agg(F.min("_value").alias("_low"))
+    """Add, for each name in ``values``, the least value among earlier rows of the group (null where
+    there is none). Same two levels: minima per segment run over the small table, rows only over
+    their segment."""
+    held = {name: f"_value_{name}" for name in values}
+    rows = df.withColumns({held[name]: value for name, value in values.items()})
+    rows = rows.withColumn("_segment", segment_of(order_by, segment))
+    lows = rows.groupBy(*within, "_segment").agg(*[F.min(column).alias(column) for column in held.values()])
     before = Window.partitionBy(*within).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     offsets = lows.select(
         *[F.col(c).alias(f"_g_{c}") for c in within],
         F.col("_segment").alias("_g_segment"),
-        F.min("_low").over(before).alias("_low_before"),
+        *[F.min(column).over(before).alias(f"_before{column}") for column in held.values()],
     )
     match = F.col("_segment") == F.col("_g_segment")
     for column in within:
         match = match & F.col(column).eqNullSafe(F.col(f"_g_{column}"))
     inside = Window.partitionBy(*within, "_segment").orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.join(offsets, match)
-        .withColumn(name, F.least(F.col("_low_before"), F.min("_value").over(inside)))
-        .select(*df.columns, name)
+    joined = rows.join(offsets, match).withColumns(
+        {name: F.least(F.col(f"_before{column}"), F.min(column).over(inside)) for name, column in held.items()}
     )
+    return joined.select(*df.columns, *values)
