@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import strip
 from corpusmill.operators import clean as cl
 from corpusmill.operators.dedup import drop_exact_duplicates, drop_known
+from corpusmill.operators.near_duplicates import drop_near_duplicates
 from corpusmill.operators.quality import score_quality
-from corpusmill.plans.common import documents, rounded, sql_strip, table
+from corpusmill.plans.common import documents, rounded, sql_strip, sql_tokens, table
 
 CAPPED = cl.CleanOptions(max_content_length=20_000)
 
@@ -91,6 +92,10 @@ def dedup_against_benchmark(spark, sf_dir):
     )
 
 
+def near_duplicates(spark, sf_dir):
+    return drop_near_duplicates(documents(spark, sf_dir)).select("doc_id", F.length("content").alias("chars"))
+
+
 def _quality(spark, sf_dir, key):
     scores = score_quality(documents(spark, sf_dir), by=[key])
     return rounded(scores, "duplicate_ratio", "noise_ratio", "coverage", "overall")
@@ -156,6 +161,7 @@ QUERIES = {
     "length_filters": length_filters,
     "dedup_exact": dedup_exact,
     "dedup_against_benchmark": dedup_against_benchmark,
+    "near_duplicates": near_duplicates,
     "quality_by_lang": quality_by_lang,
     "quality_by_source": quality_by_source,
     "quality_overall": quality_overall,
@@ -196,6 +202,28 @@ SELECT doc_id, content, source FROM ({_FIRST.format(relation="SELECT *, text AS
     "dedup_against_benchmark": """
 WITH both_sets AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)
 SELECT doc_id, md5(text) AS digest FROM both_sets WHERE text NOT IN (SELECT text FROM benchmark)""",
+    "near_duplicates": f"""
+WITH RECURSIVE words AS (SELECT doc_id, {sql_tokens('text')} AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS early, b.doc_id AS late, count(*) AS c
+  FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS (
+  SELECT late, list(early) AS before FROM shared JOIN sizes x ON x.doc_id = early JOIN sizes y ON y.doc_id = late
+  WHERE c / (x.n + y.n - c) >= 0.95 GROUP BY late),
+placed AS (
+  SELECT doc_id, coalesce(before, []::BIGINT[]) AS before, row_number() OVER (ORDER BY doc_id) AS p
+  FROM documents LEFT JOIN near ON late = doc_id),
+walk(p, kept) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT placed.p, CASE WHEN list_has_any(walk.kept, placed.before) THEN walk.kept ELSE list_append(walk.kept, placed.doc_id) END
+  FROM walk JOIN placed ON placed.p = walk.p + 1),
+final AS (SELECT unnest(kept) AS doc_id FROM walk WHERE p = (SELECT count(*) FROM documents))
+SELECT doc_id, length(text)::INT AS chars FROM final JOIN documents USING (doc_id)""",
     "quality_by_lang": sql_quality("SELECT *, text AS content FROM documents", "lang"),
     "quality_by_source": sql_quality("SELECT *, text AS content FROM documents", "source"),
     "quality_overall": sql_quality("SELECT *, text AS content FROM documents", None),
