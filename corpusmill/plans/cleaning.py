@@ -204,17 +204,17 @@ WITH both_sets AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item
 SELECT doc_id, md5(text) AS digest FROM both_sets WHERE text NOT IN (SELECT text FROM benchmark)""",
     "near_duplicates": f"""
 WITH RECURSIVE words AS (SELECT doc_id, {sql_tokens('text')} AS w FROM documents),
-sets AS (
+sets AS MATERIALIZED (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM words)),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 shared AS (
   SELECT a.doc_id AS early, b.doc_id AS late, count(*) AS c
   FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-near AS (
+near AS MATERIALIZED (
   SELECT late, list(early) AS before FROM shared JOIN sizes x ON x.doc_id = early JOIN sizes y ON y.doc_id = late
   WHERE c / (x.n + y.n - c) >= 0.95 GROUP BY late),
-placed AS (
+placed AS MATERIALIZED (
   SELECT doc_id, coalesce(before, []::BIGINT[]) AS before, row_number() OVER (ORDER BY doc_id) AS p
   FROM documents LEFT JOIN near ON late = doc_id),
 walk(p, kept) AS (
