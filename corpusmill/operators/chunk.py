@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import WHITESPACE, strip
+from corpusmill.functions.text import WHITESPACE, bound, strip
 
 PARAGRAPH_GAP = rf"\n{WHITESPACE}*\n"
 SENTENCE_GAP = rf"(?<=[.!?]){WHITESPACE}+"
@@ -40,7 +40,6 @@ def _pieces(text: Column, limit: int) -> Column:
 def chunk_texts(content: Column, max_chunk_size: int = 1000) -> Column:
     """Array of chunk texts. Greedy: a piece joins the open chunk while both and one more character
     fit, so a chunk of paragraphs may be one over the limit and a lone sentence stays whole."""
-    text = strip(content)
 
     def step(state: Column, piece: Column) -> Column:
         size = state["size"] + piece["size"]
@@ -66,10 +65,14 @@ def chunk_texts(content: Column, max_chunk_size: int = 1000) -> Column:
         F.lit(0).alias("size"),
         F.lit(-1).alias("run"),
     )
-    packed = F.aggregate(
-        _pieces(text, max_chunk_size), start, step, lambda state: F.concat(state["done"], F.array(state["open"]))
-    )
-    return F.when(F.length(text) <= max_chunk_size, F.array(text)).otherwise(packed)
+
+    def split(text: Column) -> Column:
+        packed = F.aggregate(
+            _pieces(text, max_chunk_size), start, step, lambda state: F.concat(state["done"], F.array(state["open"]))
+        )
+        return F.when(F.length(text) <= max_chunk_size, F.array(text)).otherwise(packed)
+
+    return bound(strip(content), split)
 
 
 def chunk_documents(documents: DataFrame, *, max_chunk_size: int = 1000, content: str = "content") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import strip
+from corpusmill.functions.text import bound, strip
 from corpusmill.operators.dedup import drop_exact_duplicates, first_copies
 
 # Broken byte sequences and what they stand for; applied in this order.
@@ -38,23 +39,32 @@ class CleanOptions:
     custom_filters: Sequence[Column | Callable[[DataFrame], Column]] = field(default_factory=tuple)
 
 
+def _where(condition: Callable[[Column], Column], change: Callable[[Column], Column], text: Column) -> Column:
+    """Change the texts that meet a cheap condition; the others skip the costly part."""
+    return bound(text, lambda t: F.when(condition(t), change(t)).otherwise(t))
+
+
+def _holds(*parts: str) -> Callable[[Column], Column]:
+    return lambda t: reduce(Column.__or__, [F.contains(t, F.lit(part)) for part in parts])
+
+
 def fix_encoding(text: Column) -> Column:
-    repaired = text
-    for broken, good in MOJIBAKE:
-        repaired = F.replace(repaired, F.lit(broken), F.lit(good))
-    suspicious = F.contains(text, F.lit("â")) | F.contains(text, F.lit("Ã"))
-    return F.when(suspicious, repaired).otherwise(text)
+    def repair(broken_text: Column) -> Column:
+        return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), MOJIBAKE, broken_text)
+
+    return _where(_holds("â", "Ã"), repair, text)
 
 
 def strip_html(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, "<[^>]+>", "")).otherwise(text)
+    return _where(_holds("<"), lambda t: F.regexp_replace(t, "<[^>]+>", ""), text)
 
 
 def normalize_whitespace(text: Column, collapse_newlines: bool = True) -> Column:
-    """Blank runs become one space, newline runs one newline; single spaces need no rewrite."""
-    text = F.regexp_replace(text, r"[ \t]{2,}|\t", " ")
+    """Blank runs become one space, newline runs one newline. Texts without a double blank or a tab
+    need no pattern for that."""
+    text = _where(_holds("  ", "\t"), lambda t: F.regexp_replace(t, r"[ \t]{2,}|\t", " "), text)
     if collapse_newlines:
-        text = F.regexp_replace(text, r"\n{2,}", "\n")
+        text = _where(_holds("\n\n"), lambda t: F.regexp_replace(t, r"\n{2,}", "\n"), text)
     return strip(text)
 
 
@@ -81,6 +91,13 @@ def rejected_by(text: Column, options: CleanOptions = CleanOptions()) -> Column:
     return reason
 
 
+def with_cleaned(df: DataFrame, options: CleanOptions = CleanOptions(), *, content: str = "content") -> DataFrame:
+    """Replace ``content`` by its cleaned form. Exploding a one-element array makes the text a real
+    column: filters on it read that column and do not repeat the cleaning."""
+    others = [c for c in df.columns if c != content]
+    return df.select(*others, F.explode(F.array(cleaned_text(F.col(content), options))).alias(content))
+
+
 def _predicates(df: DataFrame, options: CleanOptions) -> list[Column]:
     return [rule(df) if not isinstance(rule, Column) else rule for rule in options.custom_filters]
 
@@ -94,7 +111,7 @@ def clean(
     corpus: Sequence[str] = (),
 ) -> DataFrame:
     """The documents that survive, with cleaned content. Of equal texts the first by ``order_by`` stays."""
-    kept = df.withColumn(content, cleaned_text(F.col(content), options))
+    kept = with_cleaned(df, options, content=content)
     kept = kept.where(rejected_by(F.col(content), options).isNull())
     if options.dedup:
         kept = drop_exact_duplicates(kept, content=content, order_by=order_by, within=corpus)
@@ -117,7 +134,7 @@ def clean_audit(
     """
     raw = F.coalesce(F.col(content), F.lit(""))
     fixed = (fix_encoding(raw) != raw) if options.fix_encoding else F.lit(False)
-    rows = df.withColumn("encoding_fixed", fixed).withColumn(content, cleaned_text(F.col(content), options))
+    rows = with_cleaned(df.withColumn("encoding_fixed", fixed), options, content=content)
     rows = rows.withColumn("removed_by", rejected_by(F.col(content), options))
     if options.dedup:
         passed = rows.where(F.col("removed_by").isNull())
@@ -160,12 +177,9 @@ def clean_report(
         )
     else:
         raw = F.coalesce(F.col(content), F.lit(""))
-        text = cleaned_text(F.col(content), options)
-        rows = df.select(
-            *corpus,
-            ((fix_encoding(raw) != raw) if options.fix_encoding else F.lit(False)).alias("encoding_fixed"),
-            text.alias("_text"),
-        ).withColumn("removed_by", rejected_by(F.col("_text"), options))
+        fixed = (fix_encoding(raw) != raw) if options.fix_encoding else F.lit(False)
+        slim = df.select(*corpus, fixed.alias("encoding_fixed"), F.col(content).alias("_text"))
+        rows = with_cleaned(slim, options, content="_text").withColumn("removed_by", rejected_by(F.col("_text"), options))
         digest = F.when(F.col("removed_by").isNull(), F.md5(F.col("_text")))
         report = (
             rows.withColumn("_digest", digest)

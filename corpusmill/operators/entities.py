@@ -3,26 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Label, pattern, and a literal that every match contains ('' where there is none).
+# Label, pattern, and literals of which every match holds one.
 PATTERNS = {
-    "EMAIL": (r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", "@"),
-    "DATE": (r"\b\d{4}[-/]\d{2}[-/]\d{2}\b", ""),
-    "MONEY": (r"\$[\d,]+\.?\d*", "$"),
-    "URL": (r"https?://[^\s]+", "http"),
-    "PHONE": (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", ""),
+    "EMAIL": (r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b", ["@"]),
+    "DATE": (r"\b\d{4}[-/]\d{2}[-/]\d{2}\b", ["-", "/"]),
+    "MONEY": (r"\$[\d,]+\.?\d*", ["$"]),
+    "URL": (r"https?://[^\s]+", ["http"]),
+    "PHONE": (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", []),
 }
 
 ENTITY_TYPE = "array<struct<label:string,text:string,start:int,end:int,confidence:double>>"
 
 
-def _pattern_table(extra: Mapping[str, str] | None) -> dict[str, tuple[str, str]]:
+def _pattern_table(extra: Mapping[str, str] | None) -> dict[str, tuple[str, list[str]]]:
     table = dict(PATTERNS)
     for label, pattern in (extra or {}).items():
-        table[label] = (pattern, "")
+        table[label] = (pattern, [])
     return table
 
 
@@ -31,6 +32,13 @@ def _unicode(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
+def _possible(text: Column, literals: list[str]) -> Column:
+    """Whether a text can hold a match at all; a plain search that spares most texts the pattern."""
+    if not literals:
+        return F.lit(True)
+    return reduce(Column.__or__, [F.contains(text, F.lit(literal)) for literal in literals])
+
+
 def _located(text: Column, label: str, pattern: str) -> Column:
     """Matches of one label. The text between matches gives the offsets: a match starts after all
     gaps and matches before it."""
@@ -61,10 +69,9 @@ def entities_of(text: Column, extra_patterns: Mapping[str, str] | None = None) -
     """All non-overlapping matches, label by label in the order of the pattern table."""
     nothing = F.array().cast(ENTITY_TYPE)
     per_label = []
-    for label, (pattern, literal) in _pattern_table(extra_patterns).items():
+    for label, (pattern, literals) in _pattern_table(extra_patterns).items():
         pattern = _unicode(pattern)
-        possible = F.contains(text, F.lit(literal)) if literal else F.lit(True)
-        per_label.append(F.when(possible & F.rlike(text, F.lit(pattern)), _located(text, label, pattern)).otherwise(nothing))
+        per_label.append(F.when(_possible(text, literals) & F.rlike(text, F.lit(pattern)), _located(text, label, pattern)).otherwise(nothing))
     return F.concat(*per_label)
 
 
@@ -78,10 +85,14 @@ def extract_entities(
 
 def count_entities(df: DataFrame, *, by: tuple[str, ...] = (), content: str = "content") -> DataFrame:
     """Matches per label, without building the matches."""
+    text = F.col(content)
     per_label = F.array(
         *[
-            F.struct(F.lit(label).alias("label"), F.regexp_count(F.col(content), F.lit(_unicode(pattern))).alias("n"))
-            for label, (pattern, _) in PATTERNS.items()
+            F.struct(
+                F.lit(label).alias("label"),
+                F.when(_possible(text, literals), F.regexp_count(text, F.lit(_unicode(pattern)))).otherwise(0).alias("n"),
+            )
+            for label, (pattern, literals) in PATTERNS.items()
         ]
     )
     return df.select(*by, F.inline(per_label)).groupBy(*by, "label").agg(F.sum("n").alias("entities"))

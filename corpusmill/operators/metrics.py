@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.answers import is_json, token_f1
 from corpusmill.functions.numbers import round_half_even
-from corpusmill.functions.text import jaccard, normalized, strip, tokens
+from corpusmill.functions.text import normalized, strip, word_overlap
 
 HALLUCINATION_BELOW = 0.5
 CLASSIFICATION_BELOW = 20
@@ -26,7 +26,7 @@ def same_answer(left: str, right: str) -> Column:
 
 def overlap(left: str, right: str) -> Column:
     """Jaccard similarity of the two word sets."""
-    return jaccard(tokens(F.col(left)), tokens(F.col(right)))
+    return word_overlap(F.col(left), F.col(right))
 
 
 def align(predictions: DataFrame, references: DataFrame, *, on: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -152,7 +152,8 @@ def faithfulness(samples: DataFrame, *, by: Sequence[str] = MODEL, below: float
 
 def hallucinations(samples: DataFrame, *, below: float = HALLUCINATION_BELOW) -> DataFrame:
     """The samples under ``below`` with their overlap."""
-    scored = samples.withColumn("overlap", overlap("prediction", "reference"))
+    # The array keeps the overlap from being computed again in the filter.
+    scored = samples.select("*", F.explode(F.array(overlap("prediction", "reference"))).alias("overlap"))
     return scored.where(F.col("overlap") < below).withColumn("overlap", round_half_even(F.col("overlap"), 4))
 
 

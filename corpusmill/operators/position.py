@@ -4,6 +4,9 @@ The order column is an integer, so it cuts into segments that every task can com
 Rows are counted per segment, the small table of counts is summed up into offsets, and rows are
 numbered inside their segment only. A segment holds at most ``segment`` order values, however the
 rows are spread over groups.
+
+The table of counts has one row per used segment, so ids should be about as dense as a counter. For
+ids spread thinly over a wide range, pass a ``segment`` wider by the same factor.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT = 65_536
+SEGMENT = 8_192
 
 
 def segment_of(order_by: str, segment: int = SEGMENT) -> Column:

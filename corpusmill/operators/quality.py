@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import count_char, strip
+from corpusmill.functions.text import bound, count_char, strip
+
+
+def noise(text: Column) -> Column:
+    """Short texts, and texts that are mostly blanks, count as noise."""
+    size = F.greatest(F.length(text), F.lit(1))
+    return bound(strip(text), lambda s: (F.length(s) < 20) | (count_char(s, " ") / size > 0.5))
 
 
 def score_quality(chunks: DataFrame, *, by: Sequence[str] = (), content: str = "content") -> DataFrame:
     """One row per corpus. The distinct count is planned as a first grouping on (corpus, digest),
     so a corpus that holds most rows is still spread over all tasks."""
     text = F.col(content)
-    stripped = strip(text)
-    noisy = (F.length(stripped) < 20) | (count_char(stripped, " ") / F.greatest(F.length(text), F.lit(1)) > 0.5)
+    noisy = noise(text)
     slim = chunks.select(
         *by,
         F.md5(text).alias("_digest"),

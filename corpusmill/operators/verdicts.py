@@ -96,7 +96,8 @@ def _one_pass(samples: DataFrame, by: Sequence[str]) -> DataFrame:
     compared = "baseline" in samples.columns
     if compared:
         samples = compare_samples(samples)
-    shared = overlap("prediction", "reference")
+    samples = samples.withColumn("_overlap", overlap("prediction", "reference"))
+    shared = F.col("_overlap")
     columns = [
         F.avg(same_answer("prediction", "reference").cast("int")).alias("exact_match"),
         F.avg(token_f1("prediction", "reference")).alias("f1"),

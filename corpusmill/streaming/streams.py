@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusmill.functions.text import count_char, strip
 from corpusmill.operators.chunk import chunk_documents
-from corpusmill.operators.clean import CleanOptions, cleaned_text, rejected_by
+from corpusmill.operators.clean import CleanOptions, rejected_by, with_cleaned
 from corpusmill.operators.entities import extract_entities
+from corpusmill.operators.quality import noise
 
 DEDUP_SALTS = 16
 
@@ -40,7 +40,7 @@ def clean_stream(
     stream: DataFrame, options: CleanOptions = CleanOptions(collapse_newlines=False), *, content: str = "content"
 ) -> DataFrame:
     """Cleaning without duplicate removal. Blank lines stay by default, as chunking needs them."""
-    cleaned = stream.withColumn(content, cleaned_text(F.col(content), options))
+    cleaned = with_cleaned(stream, options, content=content)
     return cleaned.where(rejected_by(F.col(content), options).isNull())
 
 
@@ -75,8 +75,6 @@ def quality_by_window(
 ) -> DataFrame:
     """Quality per tumbling window. Streams allow no exact distinct count, so unique texts are an estimate."""
     text = F.col(content)
-    stripped = strip(text)
-    noisy = (F.length(stripped) < 20) | (count_char(stripped, " ") / F.greatest(F.length(text), F.lit(1)) > 0.5)
     totals = (
         stream.withColumn(time, F.col(time).cast("timestamp"))
         .withWatermark(time, late)
@@ -84,7 +82,7 @@ def quality_by_window(
         .agg(
             F.count(F.lit(1)).alias("total_chunks"),
             F.approx_count_distinct(F.md5(text)).alias("unique_chunks"),
-            F.avg(noisy.cast("int")).alias("noise_ratio"),
+            F.avg(noise(text).cast("int")).alias("noise_ratio"),
             F.least(F.avg(F.length(text)) / 500.0, F.lit(1.0)).alias("coverage"),
         )
     )
