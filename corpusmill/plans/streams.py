@@ -12,6 +12,10 @@ from corpusmill.session import scratch_path
 from corpusmill.sources import landed
 from corpusmill.streaming import streams
 
+# Documents arrive one per second from 2024 on. (A stream's watermark starts at the epoch, and rows
+# at or before it count as late.)
+ARRIVAL = 1_704_067_200
+
 
 def _stream(spark, sf_dir, name):
     """A glob, so the table may be one file or a folder of files."""
@@ -20,7 +24,7 @@ def _stream(spark, sf_dir, name):
 
 def _documents(spark, sf_dir):
     return _stream(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("content"), "lang", F.timestamp_seconds("doc_id").alias("ts")
+        "doc_id", F.col("text").alias("content"), "lang", F.timestamp_seconds(F.col("doc_id") + ARRIVAL).alias("ts")
     )
 
 
@@ -119,7 +123,7 @@ SELECT props AS content, 'kafka://' || event_type AS source_ref, event_id::VARCH
     "stream_dedup": "SELECT DISTINCT md5(text) AS digest, length(text)::INT AS chars FROM documents",
     "stream_quality": f"""
 SELECT split_part(k, '|', 1) AS window_start, split_part(k, '|', 2) AS lang, total_chunks, noise_ratio, coverage
-FROM ({sql_quality("SELECT strftime(date_trunc('hour', make_timestamp(doc_id * 1000000)), '%Y-%m-%d %H:%M') || '|' || lang AS k, text AS content FROM documents", "k")})""",
+FROM ({sql_quality("SELECT strftime(date_trunc('hour', make_timestamp((doc_id + {ARRIVAL}) * 1000000)), '%Y-%m-%d %H:%M') || '|' || lang AS k, text AS content FROM documents", "k")})""",
     "stream_batches": """
 SELECT event_type, count(*) AS events, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type""",
     "stream_resume": "SELECT event_id, event_type, value FROM events",
