@@ -113,6 +113,9 @@ QUERIES = {
 }
 
 _DOCS = "SELECT *, text AS content FROM documents"
+_BY_HOUR = f"""
+SELECT strftime(date_trunc('hour', make_timestamp((doc_id + {ARRIVAL}) * 1000000)), '%Y-%m-%d %H:%M') || '|' || lang AS k,
+  text AS content FROM documents"""
 
 ORACLE = {
     "stream_clean": f"SELECT doc_id, content FROM ({_CLEANED}) WHERE length(content) >= 10",
@@ -123,7 +126,7 @@ SELECT props AS content, 'kafka://' || event_type AS source_ref, event_id::VARCH
     "stream_dedup": "SELECT DISTINCT md5(text) AS digest, length(text)::INT AS chars FROM documents",
     "stream_quality": f"""
 SELECT split_part(k, '|', 1) AS window_start, split_part(k, '|', 2) AS lang, total_chunks, noise_ratio, coverage
-FROM ({sql_quality("SELECT strftime(date_trunc('hour', make_timestamp((doc_id + {ARRIVAL}) * 1000000)), '%Y-%m-%d %H:%M') || '|' || lang AS k, text AS content FROM documents", "k")})""",
+FROM ({sql_quality(_BY_HOUR, "k")})""",
     "stream_batches": """
 SELECT event_type, count(*) AS events, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type""",
     "stream_resume": "SELECT event_id, event_type, value FROM events",
