@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.numbers import round_half_even
 from corpusmill.functions.text import jaccard, normalized, tokens
+from corpusmill.operators.skew import spread_join
 
 PROMPT = ("model_id", "prompt_id")
 BLOCK = 64
@@ -64,7 +65,7 @@ def self_consistency(
     )
     large = totals.where(F.col("_sets") > block).select(*by, F.ceil(F.col("_sets") / block).alias("_blocks"))
     placed = (
-        merged.join(large, list(by), "left")
+        spread_join(merged, large, by, "left")
         .withColumn("_blocks", F.coalesce("_blocks", F.lit(1)).cast("int"))
         .withColumn("_block", F.expr("pmod(xxhash64(_words), _blocks)").cast("int"))
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.skew import spread_join
+
 
 def _keys(content: str, within: Sequence[str]):
     return [*[F.col(c) for c in within], F.md5(F.col(content)).alias("_digest")]
@@ -37,4 +39,4 @@ def drop_known(df: DataFrame, known: DataFrame, *, content: str = "content", kno
     """Drop texts that an existing corpus already holds."""
     digests = known.select(F.md5(F.col(known_content)).alias("_digest")).distinct()
     marked = df.withColumn("_digest", F.md5(F.col(content)))
-    return marked.join(digests, "_digest", "left_anti").drop("_digest")
+    return spread_join(marked, digests, ["_digest"], "left_anti").drop("_digest")

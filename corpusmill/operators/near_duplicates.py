@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.text import tokens
+from corpusmill.operators.skew import spread_join
 from corpusmill.session import cut_lineage
 
 THRESHOLD = 0.95
@@ -101,16 +102,17 @@ def first_of_near_duplicates(
     keys = firsts.select("id", F.explode(F.array_distinct(_part_keys(threshold)("_set"))).alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low < _high")
     members = cut_lineage(keys.join(shared.select("key"), "key", "left_semi"))
+    held = cut_lineage(firsts.join(members.select("id").distinct(), "id", "left_semi"))
     staying = [firsts.select("id").join(members.select("id").distinct(), "id", "left_anti")]
 
     while not members.isEmpty():
         leaders = members.groupBy("key").agg(F.min("id").alias("leader"))
-        behind = members.join(leaders, "key").where("leader < id").select("leader", "id").distinct()
+        led = spread_join(members, leaders, ["key"]).where("leader < id")
+        behind = cut_lineage(led.select("leader", "id").distinct())
         settled = members.select("id").distinct().join(behind.select("id").distinct(), "id", "left_anti")
         meetings = behind.join(settled.select(F.col("id").alias("leader")), "leader", "left_semi")
-        compared = meetings.join(firsts, "id").join(
-            firsts.select(F.col("id").alias("leader"), F.col("_set").alias("_leader_set")), "leader"
-        )
+        leader_sets = held.select(F.col("id").alias("leader"), F.col("_set").alias("_leader_set"))
+        compared = spread_join(meetings, leader_sets, ["leader"]).join(held, "id")
         dropped = compared.where(similarity(F.col("_set"), F.col("_leader_set")) >= threshold).select("id").distinct()
         decided = cut_lineage(
             settled.withColumn("stays", F.lit(True)).unionByName(dropped.withColumn("stays", F.lit(False)))

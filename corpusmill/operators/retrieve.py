@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.operators.skew import spread_join
+
 # The frame of a prompt with retrieved context.
 CONTEXT_SEPARATOR = "\n\n---\n\n"
 CONTEXT_PROMPT = (
@@ -139,7 +141,7 @@ def _retrieve_in_blocks(
 
 def assemble_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """The contents of the hits of each query in rank order as one context."""
-    found = hits.join(chunks.select("chunk_id", "content"), "chunk_id")
+    found = spread_join(hits, chunks.select("chunk_id", "content"), ["chunk_id"])
     ordered = F.sort_array(F.collect_list(F.struct("rank", "content")))  # k chunks per query
     return found.groupBy("query_id").agg(F.array_join(ordered["content"], CONTEXT_SEPARATOR).alias("context"))
 

@@ -1,0 +1,27 @@
+"""A join that a hot key cannot stall."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1_000_000
+
+
+def spread_join(
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", *, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Join ``rows`` to a ``lookup`` that holds each key once.
+
+    Keys with more than ``hot_rows`` rows are joined where their rows lie: there can be no more such
+    keys than rows / ``hot_rows``, so their lookup rows are few and are broadcast. All other keys
+    are shuffled as usual. Counting merges in the map tasks, so it meets no hot group either.
+    """
+    on = list(on)
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = F.broadcast(counts.where(F.col("_rows") > hot_rows).select(*on))
+    at_home = rows.join(hot, on, "left_semi").join(F.broadcast(lookup.join(hot, on, "left_semi")), on, how)
+    shuffled = rows.join(hot, on, "left_anti").join(lookup, on, how)
+    return at_home.unionByName(shuffled)

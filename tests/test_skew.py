@@ -1,0 +1,12 @@
+import pytest
+
+from corpusmill.operators.skew import spread_join
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
+@pytest.mark.parametrize("hot_rows", [0, 3, 10**6])
+def test_spread_join_is_the_plain_join(spark, how, hot_rows):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate("aaaaaaaabbbcdd")], "k string, i int").repartition(4)
+    lookup = spark.createDataFrame([("a", 1), ("c", 2), ("d", 3), ("x", 4)], "k string, v int")
+    plain = sorted(map(tuple, rows.join(lookup, ["k"], how).collect()))
+    assert sorted(map(tuple, spread_join(rows, lookup, ["k"], how, hot_rows=hot_rows).collect())) == plain
