@@ -73,8 +73,7 @@ def qa_metrics(spark, sf_dir):
 
 
 def token_f1(spark, sf_dir):
-    rows = samples(spark, sf_dir).where(F.col("model_id") != "padded")
-    scored = rows.select("model_id", "sample_id", metrics.token_f1("prediction", "reference").alias("f1"))
+    scored = samples(spark, sf_dir).select("model_id", "sample_id", metrics.token_f1("prediction", "reference").alias("f1"))
     return rounded(scored, "f1")
 
 
@@ -116,10 +115,11 @@ def hallucination_flags(spark, sf_dir):
 
 
 def alignment_report(spark, sf_dir):
+    """Only the longer turns have a reference."""
     turns = table(spark, sf_dir, "conversations")
     key = (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id")
     predictions = turns.select(F.col("role").alias("model_id"), key, F.col("text").alias("prediction"))
-    references = turns.where(F.col("turn") % 2 == 1).select(key, F.col("text").alias("reference"))
+    references = turns.where(F.length("text") > 200).select(key, F.col("text").alias("reference"))
     return metrics.alignment_report(metrics.align(predictions, references))
 
 
@@ -133,9 +133,10 @@ def divergent_prompts(spark, sf_dir):
 
 
 def exact_consistency(spark, sf_dir):
-    """First characters as answers, so that some agree."""
-    short = responses(spark, sf_dir).withColumn("response", F.concat(F.lit(" "), F.substring("response", 1, 1)))
-    return rounded(consistency.exact_consistency(short), "consistency")
+    """Text sizes in hundreds as answers, so that some agree."""
+    size = F.floor(F.length("response") / 100).cast("string")
+    sized = responses(spark, sf_dir).withColumn("response", F.concat(F.lit(" "), size))
+    return rounded(consistency.exact_consistency(sized), "consistency")
 
 
 def consistency_check(spark, sf_dir):
@@ -389,7 +390,7 @@ ORACLE = {
 SELECT model_id, round(avg({_same('prediction')}::INT), 6) AS exact_match, count(*) AS total_samples,
   count(*) FILTER ({_same('prediction')}) AS correct FROM samples GROUP BY model_id""",
     "qa_metrics": f"{_SAMPLES}, {_QA} SELECT model_id, round(em, 6) AS exact_match, round(f1, 6) AS f1 FROM qa",
-    "token_f1": f"{_SAMPLES}, {_f1('f1s', 'prediction')} SELECT model_id, sample_id, round(f1, 6) AS f1 FROM f1s WHERE model_id <> 'padded'",
+    "token_f1": f"{_SAMPLES}, {_f1('f1s', 'prediction')} SELECT model_id, sample_id, round(f1, 6) AS f1 FROM f1s",
     "classification_metrics": f"""{_LABELLED}, {_classes('m', 'prediction')}
 SELECT model_id, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM m""",
     "task_types": f"""
@@ -412,14 +413,14 @@ SELECT model_id, round(avg(o), 6) AS faithfulness, round(avg((o < 0.5)::INT), 6)
 SELECT model_id, sample_id, {_places('o', 4)} AS overlap
 FROM (SELECT model_id, sample_id, {_overlap('prediction', 'reference')} AS o FROM samples) WHERE o < 0.5""",
     "alignment_report": """
-SELECT role AS model_id, count(*) AS predictions, count(*) FILTER (turn % 2 = 1) AS aligned,
-  count(*) FILTER (turn % 2 <> 1) AS missing_references FROM conversations GROUP BY role""",
+SELECT role AS model_id, count(*) AS predictions, count(*) FILTER (length(text) > 200) AS aligned,
+  count(*) FILTER (length(text) <= 200) AS missing_references FROM conversations GROUP BY role""",
     "self_consistency": f"SELECT model_id, prompt_id, responses, round(consistency, 6) AS consistency FROM ({_SELF})",
     "divergent_prompts": f"""
 SELECT model_id, prompt_id, responses, {_places('consistency', 4)} AS consistency FROM ({_SELF}) WHERE responses >= 2 AND consistency < 0.7""",
     "exact_consistency": f"""
 SELECT model_id, prompt_id, responses, round(consistency, 6) AS consistency
-FROM ({_exact_consistency(f"SELECT * REPLACE (' ' || substring(response, 1, 1) AS response) FROM ({_RESPONSES})")})""",
+FROM ({_exact_consistency(f"SELECT * REPLACE (' ' || (length(response) // 100) AS response) FROM ({_RESPONSES})")})""",
     "consistency_check": f"""
 SELECT model_id, round(avg(consistency), 6) AS consistency, count(*) AS prompts,
   CASE WHEN avg(consistency) >= 0.85 THEN 'pass' WHEN avg(consistency) >= 0.7 THEN 'warning' ELSE 'fail' END AS "check"
