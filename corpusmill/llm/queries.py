@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import quality
+from corpusmill.llm import packing, quality, token_files
+
+#: Name and vocabulary size of the tokenizer files that the queries use.
+BYTE_TOKENIZER, BYTE_VOCABULARY = "byte_bpe_50k.json", 50_257
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(WORD_TOKENIZER))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), vocabulary=BYTE_VOCABULARY)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_token_files": op5_token_files,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE: dict[str, str] = {}
