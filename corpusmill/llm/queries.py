@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import packing, quality, token_files
+from corpusmill.llm import licenses, packing, quality, sharding, token_files
 
 #: Name and vocabulary size of the tokenizer files that the queries use.
 BYTE_TOKENIZER, BYTE_VOCABULARY = "byte_bpe_50k.json", 50_257
@@ -25,6 +25,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(WORD_TOKENIZER))
 
 
+def op4_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), vocabulary=BYTE_VOCABULARY)
 
@@ -33,9 +37,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_vector_sharding": op4_vector_sharding,
     "op5_token_files": op5_token_files,
     "op9_quality_rules": op9_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE: dict[str, str] = {}
