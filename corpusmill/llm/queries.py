@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import licenses, packing, quality, sharding, token_files
+from corpusmill.llm import html_extract, licenses, packing, quality, sharding, token_files
 
 #: Name and vocabulary size of the tokenizer files that the queries use.
 BYTE_TOKENIZER, BYTE_VOCABULARY = "byte_bpe_50k.json", 50_257
@@ -33,6 +33,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), vocabulary=BYTE_VOCABULARY)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_vector_sharding": op4_vector_sharding,
     "op5_token_files": op5_token_files,
+    "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
 }
