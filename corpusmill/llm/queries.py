@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import html_extract, licenses, packing, quality, sharding, token_files
+from corpusmill.llm import decontaminate, html_extract, licenses, line_dedup, packing, quality, sharding, token_files
 
 #: Name and vocabulary size of the tokenizer files that the queries use.
 BYTE_TOKENIZER, BYTE_VOCABULARY = "byte_bpe_50k.json", 50_257
@@ -33,6 +34,16 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), vocabulary=BYTE_VOCABULARY)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return done.select("doc_id", "dedup.n_lines", "dedup.n_dropped", F.octet_length(kept).alias("kept_bytes"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -49,6 +60,8 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_vector_sharding": op4_vector_sharding,
     "op5_token_files": op5_token_files,
+    "op6_decontamination": op6_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
