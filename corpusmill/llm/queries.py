@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, html_extract, licenses, line_dedup, packing, quality, sharding, token_files
+from corpusmill.llm import decontaminate, html_extract, licenses, line_dedup, near_dedup, packing, quality, sharding, token_files
 
 #: Name and vocabulary size of the tokenizer files that the queries use.
 BYTE_TOKENIZER, BYTE_VOCABULARY = "byte_bpe_50k.json", 50_257
@@ -26,6 +26,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(WORD_TOKENIZER))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op4_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_vector_sharding": op4_vector_sharding,
     "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
