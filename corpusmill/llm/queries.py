@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -27,7 +27,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(WORD_TOKENIZER))
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer(WORD_TOKENIZER))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op4_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer(BYTE_TOKENIZER), vocabulary=BYTE_VOCABULARY)
+    return token_files.token_files(_table(spark, sf_dir, "documents"), tokenizer(BYTE_TOKENIZER), vocabulary=BYTE_VOCABULARY)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
