@@ -20,7 +20,7 @@ AGREE = 0.8
 MIN_DOCUMENTS = 5
 #: Of the documents with a template, the share that must be no copies of others.
 MIN_UNRELATED = 0.5
-SKETCHES = 3
+SKETCHES = 8
 VARIABLE = "<*>"
 
 
@@ -31,6 +31,11 @@ def _tokens(line: Column) -> Column:
     return F.when(inner == "", F.lit(None)).otherwise(masked)
 
 
+def _least_leaf(entries: str, seed: int) -> Column:
+    """The smallest hash of any line's leaf under one hash function."""
+    return F.array_min(F.transform(entries, lambda e: F.xxhash64(e["leaf"], F.lit(seed))))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, n (place of the line), tokens, leaf, own (hash of all masked tokens) and sketches, for every line that is not blank."""
     rows = docs.select("doc_id", F.split("text", "\n").alias("_lines")).where("doc_id IS NOT NULL")
@@ -43,7 +48,7 @@ def lines(docs: DataFrame) -> DataFrame:
         ),
     )
     rows = rows.select("doc_id", F.filter(keyed, lambda e: e.isNotNull()).alias("_keyed"))
-    sketches = [F.array_min(F.transform("_keyed", lambda e, k=k: F.xxhash64(e["leaf"], F.lit(k)))) for k in range(SKETCHES)]
+    sketches = [_least_leaf("_keyed", k) for k in range(SKETCHES)]
     return rows.select("doc_id", F.array(*sketches).alias("sketches"), F.explode("_keyed").alias("e")).select(
         "doc_id", "sketches", "e.n", "e.tokens", "e.leaf", "e.own"
     )

@@ -57,8 +57,8 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(joined[a : b - width + 1]))
         elif b > a:
-            short = (hashes[a:b] * _ROLES[: b - a]).sum(dtype=np.uint64) + _ROLES[15 - (b - a)]
-            out.append(mix(np.array([short], dtype=np.uint64)))
+            parts = np.r_[hashes[a:b] * _ROLES[: b - a], _ROLES[15 - (b - a)]]
+            out.append(mix(parts.sum(dtype=np.uint64, keepdims=True)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
