@@ -11,7 +11,8 @@ from corpusmill.functions.numbers import round_half_even
 
 PERCENTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
 RESOLUTION = 4096
-EXACT = "decimal(19,9)"  # picoseconds; sums of it do not depend on the order of rows
+EXACT = "decimal(38,9)"  # sums of it do not depend on the order of rows
+LARGEST = 1e17  # beyond it a duration counts in the percentiles, and the mean is null
 
 
 def _bucket(value: Column) -> Column:
@@ -30,14 +31,16 @@ def latency_stats(durations: DataFrame, *, by: Sequence[str] = ("model_id",), va
     counts = values.groupBy(*by, F.col(value).cast("double").alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_bucket", _bucket(F.col("_value")))
 
+    product = (F.col("_value").try_cast("decimal(27,9)") * F.col("_n").cast("decimal(11,0)")).try_cast(EXACT)
     whole = Window.partitionBy(*by)
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
         counts.groupBy(*by, "_bucket")
-        .agg(F.sum("_n").alias("_rows"), F.sum(F.col("_value").cast(EXACT) * F.col("_n").cast("decimal(18,0)")).alias("_sum"))
+        .agg(F.sum("_n").alias("_rows"), F.sum(product).alias("_sum"), F.max(F.abs("_value")).alias("_most"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .withColumn("_total", F.sum("_rows").over(whole))
-        .withColumn("_mean", F.sum("_sum").over(whole).cast("double") / F.col("_total"))
+        .withColumn("_most", F.max("_most").over(whole))
+        .withColumn("_mean", F.when(F.col("_most") <= LARGEST, F.sum("_sum").over(whole).cast("double") / F.col("_total")))
     )
     exact = {name: (F.col("_total") - 1) * F.lit(p) for name, p in PERCENTILES.items()}
     ranks = [F.floor(k) for k in exact.values()] + [F.least(F.floor(k) + 1, F.col("_total") - 1) for k in exact.values()]

@@ -2,6 +2,9 @@
 
 Rows carry model_id, sample_id, prediction and reference, where needed also prompt and baseline.
 Every result is grouped by model, so one job scores many models.
+
+One rule holds for every score: a sample whose prediction or reference is missing (null) counts in the denominator and
+scores 0. It is never correct, overlaps with nothing, and a missing side is never a class.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ MODEL = ("model_id",)
 
 
 def same_answer(left: str, right: str) -> Column:
-    return normalized(F.col(left)) == normalized(F.col(right))
+    """Whether both texts are there and equal."""
+    return F.coalesce(normalized(F.col(left)) == normalized(F.col(right)), F.lit(False))
 
 
 def overlap(left: str, right: str) -> Column:
-    """Jaccard similarity of the two word sets."""
-    return word_overlap(F.col(left), F.col(right))
+    """Jaccard similarity of the two word sets; 0 when a side is missing."""
+    missing = F.col(left).isNull() | F.col(right).isNull()
+    return F.when(missing, F.lit(0.0)).otherwise(word_overlap(F.col(left), F.col(right)))
 
 
 def align(predictions: DataFrame, references: DataFrame, *, on: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -63,9 +68,9 @@ def qa_metrics(samples: DataFrame, *, by: Sequence[str] = MODEL, prediction: str
 
 
 def classification_metrics(samples: DataFrame, *, by: Sequence[str] = MODEL, prediction: str = "prediction") -> DataFrame:
-    """Accuracy and macro scores over the reference labels. F1 is taken from the two macro scores."""
+    """Accuracy over all samples and macro scores over the reference labels. F1 is taken from the two macro scores."""
     given, wanted = normalized(F.col(prediction)), normalized(F.col("reference"))
-    hit = (given == wanted).cast("int")
+    hit = F.coalesce(given == wanted, F.lit(False)).cast("int")
     sides = samples.select(
         *by,
         F.inline(
@@ -84,11 +89,13 @@ def classification_metrics(samples: DataFrame, *, by: Sequence[str] = MODEL, pre
         "hit",
         F.when(F.col("claimed") > 0, F.try_divide("hit", "claimed")).otherwise(0.0).alias("precision"),
         (F.col("hit") / F.col("support")).alias("recall"),
+        F.col("label").isNotNull().alias("is_label"),
     )
+    labelled = lambda name: F.coalesce(F.avg(F.when(F.col("is_label"), F.col(name))), F.lit(0.0)).alias(name)
     macro = per_label.groupBy(*by).agg(
         (F.sum("hit") / F.sum("support")).alias("accuracy"),
-        F.avg("precision").alias("precision"),
-        F.avg("recall").alias("recall"),
+        labelled("precision"),
+        labelled("recall"),
     )
     both = F.col("precision") + F.col("recall")
     return macro.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
@@ -180,7 +187,8 @@ def format_compliance(
 
 
 def responses_by_model(
-    responses: DataFrame, models: Sequence[str], *, prompt: str = "prompt_id", model: str = "model_id", response: str = "response"
+    responses: DataFrame, models: Sequence[str], *, prompt: str = "prompt_id", model: str = "model_id", response: str = "response", order: str | None = None
 ) -> DataFrame:
-    """One row per prompt with a column per model."""
-    return responses.groupBy(prompt).pivot(model, list(models)).agg(F.first(response, ignorenulls=True))
+    """One row per prompt with a column per model: its first response by ``order``, or without one the least text."""
+    rank = F.when(F.col(response).isNotNull(), F.struct(*[F.col(c) for c in (order, response) if c]))
+    return responses.groupBy(prompt).pivot(model, list(models)).agg(F.min_by(response, rank))

@@ -1,7 +1,8 @@
 """Scores, comparisons and verdicts.
 
 The driver's tables hold no model outputs, so they are derived on both sides: every user turn of a
-conversation is a prompt, the assistant turn after it the reference, and four "models" answer.
+conversation is a prompt, the assistant turn after it, if there is one, the reference, and four "models" answer. Some references and
+some predictions are missing.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def samples(spark, sf_dir):
     words = F.split("reference", " ")
     longer = F.array_join(F.filter(words, lambda w: F.length(w) > 3), " ")
     shorter = F.array_join(F.filter(words, lambda w: F.length(w) <= 3), " ")
-    padded = F.concat(F.lit(" \t"), F.col("reference"), F.lit("\n"))
+    padded = F.when(F.length("reference") % 7 != 0, F.concat(F.lit(" \t"), F.col("reference"), F.lit("\n")))
     answers = F.array(
         *[
             F.struct(F.lit(model).alias("model_id"), text.alias("prediction"))
@@ -29,23 +30,26 @@ def samples(spark, sf_dir):
         ]
     )
     return (
-        asked.join(answered, ["conv_id", "turn"])
+        asked.join(answered, ["conv_id", "turn"], "left")
         .select((F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"), "prompt", "reference", F.inline(answers))
         .withColumn("baseline", F.col("prompt"))
     )
 
 
 def labelled(spark, sf_dir):
-    """Quality labels against rules on document length; the baseline says 1 to everything."""
+    """Quality labels against rules on document length; the baseline says 1 to everything. Most documents have no label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     guesses = F.array(
         *[
-            F.struct(F.lit(f"length_{size}").alias("model_id"), (F.col("n_chars") >= size).cast("int").cast("string").alias("prediction"))
+            F.struct(
+                F.lit(f"length_{size}").alias("model_id"),
+                F.when(F.col("n_chars") % 11 != 0, (F.col("n_chars") >= size).cast("int").cast("string")).alias("prediction"),
+            )
             for size in (200, 1000, 4000)
         ]
     )
     return (
-        docs.join(table(spark, sf_dir, "labels"), "doc_id")
+        docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
         .select(F.col("doc_id").alias("sample_id"), F.col("quality").cast("string").alias("reference"), F.inline(guesses))
         .withColumn("baseline", F.lit(" 1 "))
     )
@@ -203,21 +207,22 @@ def validation_report_classes(spark, sf_dir):
 _SAMPLES = """
 WITH base AS (
   SELECT u.conv_id * 1000 + u.turn AS sample_id, u.text AS prompt, a.text AS reference, string_split(a.text, ' ') AS words
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant'),
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'),
 samples AS (
   SELECT sample_id, prompt, reference, 'content_words' AS model_id,
     array_to_string(list_filter(words, lambda w: length(w) > 3), ' ') AS prediction, prompt AS baseline FROM base
   UNION ALL SELECT sample_id, prompt, reference, 'short_words',
     array_to_string(list_filter(words, lambda w: length(w) <= 3), ' '), prompt FROM base
-  UNION ALL SELECT sample_id, prompt, reference, 'padded', ' ' || chr(9) || reference || chr(10), prompt FROM base
+  UNION ALL SELECT sample_id, prompt, reference, 'padded',
+    CASE WHEN length(reference) % 7 <> 0 THEN ' ' || chr(9) || reference || chr(10) END, prompt FROM base
   UNION ALL SELECT sample_id, prompt, reference, 'echo', prompt, prompt FROM base)"""
 
 _LABELLED = """
 WITH samples AS (
   SELECT doc_id AS sample_id, quality::VARCHAR AS reference, 'length_' || size AS model_id,
-    CASE WHEN n_chars >= size THEN '1' ELSE '0' END AS prediction, ' 1 ' AS baseline
-  FROM documents JOIN labels USING (doc_id), (VALUES (200), (1000), (4000)) sizes(size))"""
+    CASE WHEN n_chars % 11 = 0 THEN NULL WHEN n_chars >= size THEN '1' ELSE '0' END AS prediction, ' 1 ' AS baseline
+  FROM documents LEFT JOIN labels USING (doc_id), (VALUES (200), (1000), (4000)) sizes(size))"""
 
 
 def _norm(expr: str) -> str:
@@ -225,7 +230,7 @@ def _norm(expr: str) -> str:
 
 
 def _same(left: str, right: str = "reference") -> str:
-    return f"({_norm(left)} = {_norm(right)})"
+    return f"coalesce({_norm(left)} = {_norm(right)}, false)"
 
 
 def _f1(name: str, prediction: str) -> str:
@@ -239,7 +244,7 @@ def _f1(name: str, prediction: str) -> str:
     UNION ALL SELECT model_id, sample_id, 'r', unnest(r) FROM {name}_t) GROUP BY ALL),
 {name}_s AS (SELECT model_id, sample_id, sum(least(np, nr)) AS shared FROM {name}_c GROUP BY ALL),
 {name} AS (
-  SELECT model_id, sample_id, CASE WHEN len(p) = 0 AND len(r) = 0 THEN 1.0 WHEN len(p) = 0 OR len(r) = 0 THEN 0.0
+  SELECT model_id, sample_id, CASE WHEN p IS NULL OR r IS NULL THEN 0.0 WHEN len(p) = 0 AND len(r) = 0 THEN 1.0 WHEN len(p) = 0 OR len(r) = 0 THEN 0.0
     ELSE 2.0::DOUBLE * shared / (len(p) + len(r)) END AS f1
   FROM {name}_t LEFT JOIN {name}_s USING (model_id, sample_id))"""
 
@@ -247,7 +252,7 @@ def _f1(name: str, prediction: str) -> str:
 def _overlap(left: str, right: str) -> str:
     a, b = f"list_distinct({sql_tokens(left)})", f"list_distinct({sql_tokens(right)})"
     shared = f"len(list_intersect({a}, {b}))"
-    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE {shared}::DOUBLE / (len({a}) + len({b}) - {shared}) END"
+    return f"CASE WHEN {left} IS NULL OR {right} IS NULL THEN 0.0 WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE {shared}::DOUBLE / (len({a}) + len({b}) - {shared}) END"
 
 
 _QA = f"""
@@ -278,11 +283,11 @@ def _classes(name: str, prediction: str) -> str:
 {name}_l AS (
   SELECT s.model_id, l.r AS label, count(*) FILTER (s.r = l.r) AS support, count(*) FILTER (s.p = l.r) AS claimed,
     count(*) FILTER (s.p = l.r AND s.r = l.r) AS hit
-  FROM {name}_n s JOIN (SELECT DISTINCT model_id, r FROM {name}_n) l ON s.model_id = l.model_id GROUP BY ALL),
+  FROM {name}_n s JOIN (SELECT DISTINCT model_id, r FROM {name}_n WHERE r IS NOT NULL) l ON s.model_id = l.model_id GROUP BY ALL),
 {name}_m AS (
-  SELECT model_id, sum(hit)::DOUBLE / sum(support) AS accuracy,
+  SELECT model_id, sum(hit)::DOUBLE / any_value(n) AS accuracy,
     avg(CASE WHEN claimed > 0 THEN hit / claimed ELSE 0 END) AS precision, avg(hit / support) AS recall
-  FROM {name}_l GROUP BY model_id),
+  FROM {name}_l JOIN (SELECT model_id, count(*) AS n FROM {name}_n GROUP BY model_id) USING (model_id) GROUP BY model_id),
 {name} AS (
   SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM {name}_m)"""
 
@@ -394,8 +399,8 @@ SELECT model_id, round(avg({_same('prediction')}::INT), 6) AS exact_match, count
     "classification_metrics": f"""{_LABELLED}, {_classes('m', 'prediction')}
 SELECT model_id, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM m""",
     "task_types": f"""
-SELECT model_id, CASE WHEN avg(length(reference)) < 20 THEN 'classification' ELSE 'qa' END AS task_type,
-  round(avg(length(reference)), 6) AS mean_length
+SELECT model_id, CASE WHEN avg(coalesce(length(reference), 0)) < 20 THEN 'classification' ELSE 'qa' END AS task_type,
+  round(avg(coalesce(length(reference), 0)), 6) AS mean_length
 FROM (SELECT model_id, reference FROM ({_SAMPLES} SELECT * FROM samples) UNION ALL SELECT model_id, reference FROM ({_LABELLED} SELECT * FROM samples))
 GROUP BY model_id""",
     "comparison_rows": f"""{_SAMPLES}

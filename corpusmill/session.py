@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,14 +18,20 @@ SESSION_CONF = {
 }
 
 
-def local_session(cpus: str | int = "*", *, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench. Clusters bring their own."""
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+
+
+def local_session(
+    cpus: str | int = "*", *, shuffle_partitions: int = 8, memory: str = "8g", checkpoints: str = LOCAL_CHECKPOINTS
+) -> SparkSession:
+    """A local session for tests and the bench, with its checkpoint folder set. Clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("corpusmill")
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        .config(CHECKPOINT_KEY, checkpoints)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -34,17 +39,11 @@ def local_session(cpus: str | int = "*", *, shuffle_partitions: int = 8, memory:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it then gets a folder of its own.
-    """
+    """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``."""
     context = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
     if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set(CHECKPOINT_KEY, configured)
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors when the session is built")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured.rstrip("/")

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.sources.files import json_items
 
-MESSAGE_LIMIT = 100
-
 
 def glob_pattern(glob: str) -> str:
     """A key glob (``*``, ``?``, ``[...]``, ``[^...]``, backslash escapes) as a regular expression."""
@@ -61,8 +59,8 @@ def message_documents(messages: DataFrame) -> DataFrame:
     )
 
 
-def read_topic(spark: SparkSession, topic: str, servers: str, *, limit: int = MESSAGE_LIMIT, **options: str) -> DataFrame:
-    """The first ``limit`` messages of a topic. The Kafka package comes with the session."""
+def read_topic(spark: SparkSession, topic: str, servers: str, *, limit: int | None = None, **options: str) -> DataFrame:
+    """The messages of a topic, or the first ``limit`` of them by time and place. The Kafka package comes with the session."""
     messages = (
         spark.read.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -70,7 +68,9 @@ def read_topic(spark: SparkSession, topic: str, servers: str, *, limit: int = ME
         .options(**options)
         .load()
     )
-    return message_documents(messages).limit(limit)
+    if limit is not None:
+        messages = messages.orderBy("timestamp", "partition", "offset").limit(limit)
+    return message_documents(messages)
 
 
 def stream_topic(spark: SparkSession, topic: str, servers: str, **options: str) -> DataFrame:

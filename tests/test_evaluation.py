@@ -1,6 +1,5 @@
 import math
 import random
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,17 +15,6 @@ def samples(spark, predictions, references, baselines=None, model="m"):
     return spark.createDataFrame(rows, "model_id string, sample_id int, prediction string, reference string, baseline string").repartition(3)
 
 
-def f1(p, r):
-    p, r = Counter(p.lower().split()), Counter(r.lower().split())
-    if not p and not r:
-        return 1.0
-    common = sum((p & r).values())
-    if not common:
-        return 0.0
-    precision, recall = common / sum(p.values()), common / sum(r.values())
-    return 2 * precision * recall / (precision + recall)
-
-
 def jaccard(a, b):
     a, b = set(a.lower().split()), set(b.lower().split())
     return len(a & b) / len(a | b) if a | b else 1.0
@@ -39,9 +27,10 @@ def test_qa(spark):
 
 
 def test_token_f1_counts_repeats(spark):
-    pairs = [("a a b", "a b b"), ("", ""), ("", "x"), ("x y", ""), ("The cat", "the CAT sat"), ("u v", "w")]
+    worked = {("a a b", "a b b"): 2 / 3, ("", ""): 1, ("", "x"): 0, ("x y", ""): 0, ("The cat", "the CAT sat"): 4 / 5, ("u v", "w"): 0, ("b b b a", "b"): 2 / 5, (None, "x"): 0, ("x", None): 0}
+    pairs = list(worked)
     rows = samples(spark, *zip(*pairs)).select("sample_id", metrics.token_f1("prediction", "reference").alias("f"))
-    assert {r["sample_id"]: pytest.approx(r["f"]) for r in rows.collect()} == {i: f1(*p) for i, p in enumerate(pairs)}
+    assert {r["sample_id"]: pytest.approx(r["f"]) for r in rows.collect()} == dict(enumerate(worked.values()))
 
 
 def test_classification(spark):
@@ -53,6 +42,20 @@ def test_classification(spark):
     assert row["f1"] == pytest.approx(2 * precision * recall / (precision + recall))
 
 
+def test_missing_sides_are_misses(spark):
+    rows = samples(spark, ["x y", "a", None, "a"], ["x y", None, "b", "a"], baselines=[None, "a", "b", "a"])
+    exact, qa, faith = metrics.exact_match(rows).first(), metrics.qa_metrics(rows).first(), metrics.faithfulness(rows).first()
+    assert (exact["exact_match"], exact["total_samples"], exact["correct"]) == (0.5, 4, 2)
+    assert (qa["exact_match"], qa["f1"]) == (0.5, 0.5)
+    assert (faith["faithfulness"], faith["hallucination_rate"], faith["flagged"]) == (0.5, 0.5, 2)
+    classes = metrics.classification_metrics(rows).first()
+    assert classes["accuracy"] == 0.5 and classes["recall"] == pytest.approx(2 / 3) and classes["precision"] == pytest.approx((1 + 0.5) / 3)
+    assert {r["sample_id"] for r in metrics.correctness(rows).where("not correct").collect()} == {1, 2}
+    assert [r["winner"] for r in metrics.compare_samples(rows).orderBy("sample_id").collect()] == ["finetuned", "tie", "baseline", "tie"]
+    report = verdicts.validation_report(rows.drop("baseline")).first()
+    assert (report["exact_match"], report["f1"], report["faithfulness"], report["hallucination_rate"]) == (0.5, 0.5, 0.5, 0.5)
+
+
 def test_label_only_predicted_does_not_count(spark):
     row = metrics.classification_metrics(samples(spark, ["c", "b"], ["a", "b"])).first()
     assert (row["accuracy"], row["precision"], row["recall"]) == (0.5, 0.5, 0.5)
