@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.store_types import normalized_json_type, normalized_spark_type, normalized_store_type
@@ -31,17 +31,18 @@ def _text(name: str) -> Column:
 
 
 FIELD_TYPE = (
-    "database string, collection string, source_type string, ordinal int, field string, store_type string, "
+    "database string, collection string, collection_ordinal int, source_type string, ordinal int, field string, store_type string, "
     "data_type string, nullable boolean, is_primary_key boolean, relationships array<string>"
 )
 
 
-def _metadata(database: str, name: str, collection: Collection) -> list[tuple]:
+def _metadata(database: str, name: str, place: int, collection: Collection) -> list[tuple]:
     related = sorted({target for target, _ in collection.foreign_keys.values()})
     return [
         (
             database,
             name,
+            place,
             collection.source_type,
             ordinal,
             column.name,
@@ -70,10 +71,10 @@ def _samples(database: str, name: str, collection: Collection, size: int) -> Dat
 def catalog_fields(
     database: str, collections: Mapping[str, Collection], *, samples: int = SAMPLE_VALUES
 ) -> DataFrame:
-    """One row per field. With ``samples`` also the values of the first rows; without, no data is read."""
+    """One row per field, collections numbered in the given order. With ``samples`` also the values of the first rows; without, no data is read."""
     spark = next(iter(collections.values())).frame.sparkSession
     fields = spark.createDataFrame(
-        [row for name, c in collections.items() for row in _metadata(database, name, c)], FIELD_TYPE
+        [row for place, (name, c) in enumerate(collections.items()) for row in _metadata(database, name, place, c)], FIELD_TYPE
     )
     if not samples:
         return fields
@@ -99,10 +100,15 @@ def catalog_tables(database: str, collections: Mapping[str, Collection]) -> Data
 
 def fields_from_metadata(rows: DataFrame, store: str) -> DataFrame:
     """Catalog rows from a store's own column listing (``information_schema`` and the like), given as
-    database, collection, ordinal, field, store_type, nullable, is_primary_key."""
-    return rows.withColumn("data_type", normalized_store_type(store, F.col("store_type"))).withColumn(
-        "source_type", F.lit("table")
-    )
+    database, collection, ordinal, field, store_type, nullable, is_primary_key. Collections are numbered by name."""
+    typed = rows.withColumn("data_type", normalized_store_type(store, F.col("store_type"))).withColumn("source_type", F.lit("table"))
+    return numbered_collections(typed.withColumn("relationships", F.array().cast("array<string>")))
+
+
+def numbered_collections(fields: DataFrame) -> DataFrame:
+    """Adds collection_ordinal by name. A catalog has a row per field of a store, so one task holds a database's."""
+    place = F.dense_rank().over(Window.partitionBy("database").orderBy("collection")) - 1
+    return fields.withColumn("collection_ordinal", place)
 
 
 def fields_from_json(documents: DataFrame, *, collection: Column, content: Column, order_by: Sequence[str], source_type: str = "collection") -> DataFrame:

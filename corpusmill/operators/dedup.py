@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.skew import spread_join
-
 
 def _keys(content: str, within: Sequence[str]):
     return [*[F.col(c) for c in within], F.md5(F.col(content)).alias("_digest")]
@@ -36,7 +34,7 @@ def drop_exact_duplicates(
 
 
 def drop_known(df: DataFrame, known: DataFrame, *, content: str = "content", known_content: str = "content") -> DataFrame:
-    """Drop texts that an existing corpus already holds."""
+    """Drop texts that an existing corpus already holds. A digest that very many rows share is split by adaptive execution."""
     digests = known.select(F.md5(F.col(known_content)).alias("_digest")).distinct()
     marked = df.withColumn("_digest", F.md5(F.col(content)))
-    return spread_join(marked, digests, ["_digest"], "left_anti").drop("_digest")
+    return marked.join(digests, "_digest", "left_anti").drop("_digest")

@@ -214,11 +214,18 @@ def detect_formats(fields: DataFrame) -> DataFrame:
     )
 
 
-def render_detected(chunks: DataFrame, fields: DataFrame | None = None, **options) -> DataFrame:
-    """Records in the format that the schema of one database suits; instruction pairs without one."""
+def render_detected(chunks: DataFrame, fields: DataFrame | None = None, *, database: str | None = None, **options) -> DataFrame:
+    """Records in the format that the schema of a database suits; instruction pairs without one.
+
+    ``database`` names it if the catalog has several; without a name that is an error.
+    """
     chosen = "instruction"
     if fields is not None:
-        answer = detect_formats(fields).select("primary_format", "confidence").first()  # one row per database
+        found = detect_formats(fields if database is None else fields.where(F.col("database") == database))
+        answers = found.select("primary_format", "confidence").limit(2).collect()
+        if len(answers) > 1:
+            raise ValueError("the catalog has several databases: name one")
+        answer = answers[0] if answers else None
         if answer is not None and answer["confidence"] >= ACCEPTED_FROM:
             chosen = answer["primary_format"]
     return render(chunks, chosen if chosen in WRITERS else "instruction", **options)

@@ -54,8 +54,6 @@ TABLE_QUERIES = (
 SFT_LAYOUT = ("### Instruction:\n", "\n\n### Response:\n")
 
 CONTEXT_CHARS = 200
-RECORD_CHUNKS = 1_000
-SESSION_MESSAGES = 1_000
 
 
 def _rotate(templates: Sequence[str], slot: str, value: Column) -> Column:
@@ -158,16 +156,16 @@ def corpus_records(
     by: Sequence[str] = (),
     separator: str = "\n\n",
     order_by: str = "doc_id",
-    record_chunks: int = RECORD_CHUNKS,
+    record_chunks: int | None = None,
 ) -> DataFrame:
     """Chunks joined into running text, one corpus per ``by`` value.
 
-    A corpus longer than ``record_chunks`` chunks continues in further records (``part`` 1, 2, ...),
-    since a whole corpus cannot be one cell; the parts in order hold every chunk.
+    A corpus is one record, part 0, whatever its size; with ``record_chunks`` it is cut into parts of that many chunks, for corpora
+    that are too large for a cell. The parts in order hold every chunk.
     """
     ties = ["chunk_index"] if order_by != "chunk_index" else []
     rows = with_position(chunks, order_by=order_by, ties=ties, within=by).withColumn(
-        "part", F.floor(F.col("position") / record_chunks).cast("long")
+        "part", F.floor(F.col("position") / record_chunks).cast("long") if record_chunks else F.lit(0).cast("long")
     )
     members = F.sort_array(F.collect_list(F.struct("position", "content", "source_ref")))
     grouped = rows.groupBy(*by, "part").agg(members.alias("_members"))
@@ -193,18 +191,12 @@ def chat_sessions(
     turn: str,
     role: str = "role",
     content: str = "content",
-    session_messages: int = SESSION_MESSAGES,
 ) -> DataFrame:
-    """Message rows as one record per session, in turn order.
-
-    Sessions that run past ``session_messages`` turns go on in further records (``part``).
-    """
-    part = F.floor(F.col(turn) / session_messages).cast("long")
+    """Message rows as one record per session, in turn order; turns may be numbers of any size or times."""
     ordered = F.sort_array(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"))))
-    grouped = messages.groupBy(F.col(session).alias("session_id"), part.alias("part")).agg(ordered.alias("_turns"))
+    grouped = messages.groupBy(F.col(session).alias("session_id")).agg(ordered.alias("_turns"))
     return grouped.select(
         "session_id",
-        "part",
         F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"),
     )
 

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.text import tokens
-from corpusmill.operators.skew import spread_join
 from corpusmill.session import cut_lineage
 
 THRESHOLD = 0.95
@@ -107,12 +106,12 @@ def first_of_near_duplicates(
 
     while not members.isEmpty():
         leaders = members.groupBy("key").agg(F.min("id").alias("leader"))
-        led = spread_join(members, leaders, ["key"]).where("leader < id")
+        led = members.join(leaders, "key").where("leader < id")
         behind = cut_lineage(led.select("leader", "id").distinct())
         settled = members.select("id").distinct().join(behind.select("id").distinct(), "id", "left_anti")
         meetings = behind.join(settled.select(F.col("id").alias("leader")), "leader", "left_semi")
         leader_sets = held.select(F.col("id").alias("leader"), F.col("_set").alias("_leader_set"))
-        compared = spread_join(meetings, leader_sets, ["leader"]).join(held, "id")
+        compared = meetings.join(leader_sets, "leader").join(held, "id")
         dropped = compared.where(similarity(F.col("_set"), F.col("_leader_set")) >= threshold).select("id").distinct()
         decided = cut_lineage(
             settled.withColumn("stays", F.lit(True)).unionByName(dropped.withColumn("stays", F.lit(False)))

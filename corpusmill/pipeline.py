@@ -31,11 +31,12 @@ def prepare(
     by: Sequence[str] = (),
     max_chunk_size: int = 1000,
     catalog: DataFrame | None = None,
+    database: str | None = None,
 ) -> Prepared:
     """From documents (doc_id, content, source_ref) to training records.
 
     Cleaning comes before splitting and leaves blank lines alone, since paragraphs end there.
-    ``by`` names the corpus columns; ``catalog`` lets the schema choose the record format.
+    ``by`` names the corpus columns; ``catalog`` lets the schema of ``database`` choose the record format.
     """
     cleaned = clean(documents, options, corpus=by)
     chunks = chunk_documents(cleaned, max_chunk_size=max_chunk_size)
@@ -45,5 +46,5 @@ def prepare(
         chunks=chunks,
         entities=extract_entities(chunks),
         quality=score_quality(chunks, by=by),
-        records=render_detected(chunks, catalog),
+        records=render_detected(chunks, catalog, database=database),
     )

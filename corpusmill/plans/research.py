@@ -73,12 +73,12 @@ def retrieve_topk(spark, sf_dir):
 
 
 def index_chunks(spark, sf_dir):
-    """Embedded documents written to an index table and read back."""
+    """All documents written to an index table and read back; those without a vector have no norm."""
     path = scratch_path(spark, "chunk-index")
     vectors = _vectors(spark, sf_dir).withColumnRenamed("chunk_id", "doc_id")
     chunks = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("text").alias("content"), F.col("source").alias("source_ref"), F.lit(0).alias("chunk_index")
-    ).join(vectors, "doc_id")
+    ).join(vectors, "doc_id", "left")
     sinks.write_index(retrieve.index_chunks(chunks), path)
     return rounded(sinks.read_index(spark, path).select("chunk_id", "doc_id", "norm"), "norm", places=5)
 
@@ -155,7 +155,7 @@ WITH {_CENTROIDS.format(where='')} SELECT query_id, chunk_id, round(score, 6) AS
     "index_chunks": """
 SELECT sha256(source || chr(31) || '0' || chr(31) || text) AS chunk_id, doc_id,
   round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm
-FROM documents JOIN embeddings ON vec_id = doc_id""",
+FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
     "rag_prompts": f"""
 WITH {_CENTROIDS.format(where='WHERE vec_id IN (SELECT doc_id FROM documents)')},
 contexts AS (

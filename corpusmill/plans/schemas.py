@@ -100,7 +100,7 @@ def _databases(spark, sf_dir):
     }
     fields = reduce(DataFrame.unionByName, [catalog.catalog_fields(db, cs, samples=0) for db, cs in frames.items()])
     counts = reduce(DataFrame.unionByName, [catalog.catalog_tables(db, cs) for db, cs in frames.items()])
-    return fields.withColumn("collection_ordinal", F.col("collection")), counts
+    return fields, counts
 
 
 def detect_format(spark, sf_dir):

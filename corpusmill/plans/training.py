@@ -42,8 +42,11 @@ def fmt_text2sql(spark, sf_dir):
     return formats.text_to_sql_pairs(parts)
 
 
+RECORD_CHUNKS = 16
+
+
 def fmt_corpus(spark, sf_dir):
-    records = formats.corpus_records(_doc_chunks(spark, sf_dir), by=["source"])
+    records = formats.corpus_records(_doc_chunks(spark, sf_dir), by=["source"], record_chunks=RECORD_CHUNKS)
     return records.select("source", "part", "text", F.array_join("source_refs", ",").alias("source_refs"), "num_chunks")
 
 
@@ -56,7 +59,7 @@ def chat_sessions(spark, sf_dir):
         table(spark, sf_dir, "conversations"), {"role": "role", "text": "content", "conv_id": "session_id"}, keep=["turn"]
     )
     sessions = formats.chat_sessions(mapped, session="session_id", turn="turn")
-    return sessions.select("session_id", "part", F.to_json("messages").alias("messages"))
+    return sessions.select("session_id", F.to_json("messages").alias("messages"))
 
 
 def column_mapping(spark, sf_dir):
@@ -178,7 +181,7 @@ WITH placed AS (
 SELECT {_rotated(formats.TABLE_QUESTIONS, 'table', 't')} AS question, {_rotated(formats.TABLE_QUERIES, 'table', 't')} AS sql,
   source_ref, chunk_index FROM placed""",
     "fmt_corpus": f"""
-WITH placed AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {formats.RECORD_CHUNKS} AS part FROM documents)
+WITH placed AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {RECORD_CHUNKS} AS part FROM documents)
 SELECT source, part, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text,
   string_agg('documents://' || source, ',' ORDER BY doc_id) AS source_refs, count(*) AS num_chunks
 FROM placed GROUP BY source, part""",
@@ -186,7 +189,7 @@ FROM placed GROUP BY source, part""",
 SELECT '### Instruction:' || chr(10) || {_INSTRUCTION} || chr(10) || chr(10) || '### Response:' || chr(10) || text AS text, source_ref
 FROM {_PLACED}""",
     "chat_sessions": """
-SELECT conv_id AS session_id, turn // 1000 AS part,
+SELECT conv_id AS session_id,
   to_json(list({'role': role, 'content': text} ORDER BY turn))::VARCHAR AS messages
 FROM conversations GROUP BY ALL""",
     "column_mapping": "SELECT p_partkey, p_name || ' / ' || p_type AS text, p_brand AS label FROM part",

@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill import pipeline
 from corpusmill.operators import augment, catalog, detect, formats, mapping
+from corpusmill.operators.catalog import Collection, catalog_fields
 from corpusmill.operators.position import with_minimum_before, with_position
 
 
@@ -90,6 +92,25 @@ def test_corpus_parts_hold_every_chunk(chunks):
     assert "\n\n".join(r["text"] for r in parts) == "\n\n".join(texts) and len(parts) == 3
 
 
+def test_sessions_are_whole_whatever_the_turns(spark):
+    times = [(1, 1_700_000_000 + 977 * k, "user", f"m{k}") for k in range(1500)]
+    rows = spark.createDataFrame(times + [(2, 5, "user", "x")], "s int, t long, role string, content string").repartition(3)
+    got = {r["session_id"]: [m["content"] for m in r["messages"]] for r in formats.chat_sessions(rows, session="s", turn="t").collect()}
+    assert got == {1: [f"m{k}" for k in range(1500)], 2: ["x"]}
+
+
+def test_catalog_chooses_the_format(spark):
+    faq = spark.createDataFrame([(1, "q", "a")], "id int, question string, answer string")
+    keys = spark.createDataFrame([(1, "v")], "key int, value string")
+    catalog = [catalog_fields(d, {"t": Collection(f, [f.columns[0]])}) for d, f in (("one", faq), ("two", keys))]
+    documents = spark.createDataFrame([(1, "A text that is long enough to be kept.", "ref")], "doc_id long, content string, source_ref string")
+    assert "question" in pipeline.prepare(documents, catalog=catalog[0]).records.columns
+    both = catalog[0].unionByName(catalog[1])
+    assert "question" in pipeline.prepare(documents, catalog=both, database="one").records.columns
+    with pytest.raises(ValueError):
+        pipeline.prepare(documents, catalog=both)
+
+
 def test_synonyms(spark):
     rows = spark.createDataFrame([(0, "Good  day,\tshow big things", 1)], "id long, t string, n int")
     variant = augment.augment_synonyms(rows, id_column="id").where("copy = 1").first()["t"].split(" ")
