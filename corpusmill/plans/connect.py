@@ -136,6 +136,14 @@ def csv_summary(spark, sf_dir):
     return files.csv_file_summary(spark, path).groupBy("headers").agg(F.sum("row_count").alias("row_count"))
 
 
+def csv_two_headers(spark, sf_dir):
+    """Files with different headers below one folder; each row goes under the names of its own file."""
+    path = scratch_path(spark, "csv")
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").write.csv(f"{path}/a", header=True)
+    table(spark, sf_dir, "customer").select("c_mktsegment", "c_name", "c_custkey").write.csv(f"{path}/b", header=True)
+    return files.csv_documents(spark, path).select("content")
+
+
 def _csv_source(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit('a "b", '), "s_name").alias("s_name"), "s_nationkey")
 
@@ -220,6 +228,7 @@ QUERIES = {
     "csv_documents": csv_documents,
     "csv_lines": csv_lines,
     "csv_summary": csv_summary,
+    "csv_two_headers": csv_two_headers,
     "json_documents": json_documents,
     "object_kinds": object_kinds,
     "docx_documents": docx_documents,
@@ -231,6 +240,9 @@ _KV = """
 SELECT event_type || ':' || user_id || ':' || event_id AS key, user_id % 2 = 0 AS nested, props, event_type, event_id FROM events"""
 
 ORACLE = {
+    "csv_two_headers": """
+SELECT '{"s_suppkey":"' || s_suppkey || '","s_name":"' || s_name || '"}' AS content FROM supplier
+UNION ALL SELECT '{"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_custkey":"' || c_custkey || '"}' FROM customer""",
     "fetch_filtered": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW'",
     "fetch_page": "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 25 OFFSET 50",
     "row_documents": """

@@ -44,37 +44,59 @@ def _limited(rows: DataFrame, spark: SparkSession, path: str, limit: int | None)
     return rows.join(chosen, "_path", "left_semi")
 
 
-def csv_rows(spark: SparkSession, path: str, *, limit: int | None = None, pattern: str = "*.csv") -> DataFrame:
-    """Rows of CSV files that share a header, all text, with the file in ``_path``. Files stay splittable."""
-    rows = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .csv(path, header=True, escape='"', emptyValue="", nullValue="")
-    )
-    return _limited(rows.withColumn("_path", F.col(PATH)), spark, path, limit)
+def _csv_values(line: Column) -> Column:
+    """The fields of a CSV line; quotes may enclose commas, doubled quotes stand for one."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("(?:[^"]|"")*"|[^,]*)'), 1)
+
+    def plain(field: Column) -> Column:
+        inner = F.replace(F.substr(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))
+        return F.when(F.startswith(field, F.lit('"')), inner).otherwise(field)
+
+    return F.transform(fields, plain)
+
+
+def csv_rows(spark: SparkSession, path: str, *, limit: int | None = None, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+    """Rows (_path, header, values) and headers (_path, header) of CSV files, each by its own first line.
+
+    Files are read as lines and stay splittable. Rows shorter than the header are filled with empty texts, further values are dropped.
+    """
+    lines = spark.read.options(recursiveFileLookup="true", pathGlobFilter=pattern).text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.select(F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col(PATH).alias("_path"), place.alias("_place"))
+    lines = _limited(lines.where(F.trim("value") != ""), spark, path, limit)
+    first = lines.groupBy("_path").agg(F.min("_place").alias("_first"), F.min_by("value", "_place").alias("_header"))
+    headers = first.select("_path", "_first", _csv_values(F.col("_header")).alias("header"))
+    rows = lines.join(headers, "_path").where(F.col("_place") > F.col("_first"))
+    missing = F.array_repeat(F.lit(""), F.size("header"))
+    values = F.slice(F.concat(_csv_values(F.col("value")), missing), 1, F.size("header"))
+    return rows.select("_path", "header", values.alias("values")), headers.select("_path", "header")
 
 
 def csv_documents(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
-    """One JSON document per CSV row."""
-    rows = csv_rows(spark, path, limit=limit)
-    values = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in rows.columns if c != "_path"]
-    return _documents(rows, F.to_json(F.struct(*values)), "csv")
+    """One JSON document per CSV row, under the names of its file's header."""
+    rows, _ = csv_rows(spark, path, limit=limit)
+
+    def quoted(text: Column) -> Column:
+        listed = F.to_json(F.array(text))
+        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+    pairs = F.zip_with("header", "values", lambda name, value: F.concat(quoted(name), F.lit(":"), quoted(value)))
+    return _documents(rows, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), "csv")
 
 
 def csv_file_summary(spark: SparkSession, path: str) -> DataFrame:
     """Header and number of rows per CSV file."""
-    rows = csv_rows(spark, path)
-    headers = [c for c in rows.columns if c != "_path"]
-    return rows.groupBy(F.col("_path").alias("source_ref")).agg(
-        F.lit(",".join(headers)).alias("headers"), F.count(F.lit(1)).alias("row_count")
+    rows, headers = csv_rows(spark, path)
+    counts = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("rows"))
+    return headers.join(counts, "_path", "left").select(
+        F.col("_path").alias("source_ref"), F.array_join("header", ",").alias("headers"), F.coalesce("rows", F.lit(0).cast("long")).alias("row_count")
     )
 
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     """CSV rows as plain comma-joined text, one document per row; the header is in the summary."""
-    rows = csv_rows(spark, path)
-    values = [F.coalesce(F.col(c), F.lit("")) for c in rows.columns if c != "_path"]
-    return _documents(rows, F.concat_ws(",", *values), "csv")
+    rows, _ = csv_rows(spark, path)
+    return _documents(rows, F.array_join("values", ","), "csv")
 
 
 def _whole_files(spark: SparkSession, path: str, limit: int | None, **options: str) -> DataFrame:

@@ -94,6 +94,16 @@ def test_files(spark, tmp_path):
     assert {r["collection"]: r["row_count"] for r in kinds.collect()} == {"csv": 2, "json": 3, "txt": 1}
 
 
+def test_csv_files_keep_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,age\n"x ""y"" z",3\n\nbob\n')
+    (tmp_path / "b.csv").write_text("city,zip\n,7,9\n")
+    (tmp_path / "c.csv").write_text("only,header\n")
+    docs = {r["content"] for r in files.csv_documents(spark, str(tmp_path)).collect()}
+    assert docs == {'{"name":"x \\"y\\" z","age":"3"}', '{"name":"bob","age":""}', '{"city":"","zip":"7"}'}
+    summary = {r["source_ref"][-5:]: (r["headers"], r["row_count"]) for r in files.csv_file_summary(spark, str(tmp_path)).collect()}
+    assert summary == {"a.csv": ("name,age", 2), "b.csv": ("city,zip", 1), "c.csv": ("only,header", 0)}
+
+
 @pytest.mark.parametrize("glob, key, ok", [("user:*", "user:1", True), ("user:?", "user:12", False), ("[us]*", "session:a", True), ("a.c", "abc", False), ("[^u]*", "user", False)])
 def test_globs(spark, glob, key, ok):
     assert spark.range(1).select(F.rlike(F.lit(key), F.lit(landed.glob_pattern(glob))).alias("m")).first()["m"] is ok
