@@ -46,17 +46,21 @@ def pieces(docs: DataFrame, path: str, *, spaced: bool = False, capacity: int =
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(cut, PIECES)
 
 
-def _exact(counts: np.ndarray, longest: int, gap: int) -> tuple[int, ...] | None:
-    """One to three available lengths that sum to ``gap``, largest first, or None. ``longest`` is one length in use already."""
+def _exact(counts: np.ndarray, longest: int, gap: int, most: int) -> tuple[int, ...] | None:
+    """One to ``most`` available lengths that sum to ``gap``, largest first, or None. ``longest`` is one length in use already."""
     counts = counts.copy()
     counts[longest] -= 1
-    if counts[gap] > 0:
+    if most and counts[gap] > 0:
         return (gap,)
+    if most < 2:
+        return None
     a = np.arange(gap - 1, (gap - 1) // 2, -1)
     b = gap - a
     pair = np.flatnonzero((counts[a] > 0) & (counts[b] > 0) & ((a != b) | (counts[a] > 1)))
     if len(pair):
         return int(a[pair[0]]), int(b[pair[0]])
+    if most < 3:
+        return None
     there = np.flatnonzero(counts[: gap - 1])[::-1]
     for first in there:
         counts[first] -= 1
@@ -73,7 +77,15 @@ def _exact(counts: np.ndarray, longest: int, gap: int) -> tuple[int, ...] | None
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Bins as (lengths in a bin, number of such bins), from the counts of lengths 1 to ``capacity``."""
+    """Bins as (lengths in a bin, number of such bins), from the counts of lengths 1 to ``capacity``.
+
+    Filling gaps with triples can use up short pieces that later gaps need, so plans that stop at pairs, at single lengths, or go straight
+    to best fit are made too, and the one with the fewest bins counts.
+    """
+    return min((_plan(histogram, capacity, most) for most in (3, 2, 1, 0)), key=lambda bins: sum(times for _, times in bins))
+
+
+def _plan(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         counts[length] = n
@@ -82,7 +94,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     left: dict[int, int] = {}
     for longest in range(capacity - 1, 0, -1):
         while counts[longest]:
-            fill = _exact(counts, longest, capacity - longest)
+            fill = _exact(counts, longest, capacity - longest, most)
             if fill is None:
                 break
             used = np.bincount((longest, *fill), minlength=capacity + 1)
