@@ -15,6 +15,7 @@ KNOWN_FIELDS = (
     "question", "answer", "query", "instruction", "output", "response", "prompt", "chosen", "rejected", "role", "content",
     "session_id",
 )
+# Fixed values, here and in the rules below: the sentences that give the reason, with their confidences and mappings.
 NOTHING_FOUND = {
     "dpo": "No DPO pattern found.",
     "qa": "No QA pattern found.",

@@ -52,10 +52,14 @@ def write_dataset(records: DataFrame, path: str, *, file_format: str = "parquet"
     records.write.mode(mode).partitionBy(*partition_by).format(file_format).save(path)
 
 
-def write_index(chunks: DataFrame, path: str, *, collection: str = "default") -> None:
-    """Append indexed chunks to a collection of the index table."""
-    chunks.withColumn("collection", F.lit(collection)).write.mode("append").partitionBy("collection").parquet(path)
+def write_index(chunks: DataFrame, path: str, *, collection: str = "default", run: str = "0") -> None:
+    """Add indexed chunks to a collection of the index table. A repeated run replaces its own rows; runs are ordered by name."""
+    named = chunks.withColumns({"collection": F.lit(collection), "run": F.lit(run)})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "run").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str, *, collection: str = "default") -> DataFrame:
-    return spark.read.parquet(path).where(F.col("collection") == collection).drop("collection")
+    """A collection's chunks, each from the newest run that wrote it."""
+    rows = spark.read.parquet(path).where(F.col("collection") == collection)
+    newest = rows.groupBy("chunk_id").agg(F.max("run").alias("run"))
+    return rows.join(newest, ["chunk_id", "run"]).drop("collection", "run")

@@ -246,3 +246,15 @@ def test_rounding_is_python_rounding(spark, value):
     ).first()
     assert row["r"] == (value if math.isinf(value) else round(value, 2))
     assert row["t"].replace("-0.0", "0.0") == f"{value:.1f}".replace("-0.0", "0.0")
+
+
+def test_index_writes_can_be_repeated(spark, tmp_path):
+    from corpusmill import sinks
+
+    first = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "chunk_id string, norm double")
+    second = spark.createDataFrame([("b", 5.0), ("c", 3.0)], "chunk_id string, norm double")
+    path = str(tmp_path / "index")
+    for run, rows in (("1", first), ("1", first), ("2", second), ("2", second)):
+        sinks.write_index(rows, path, run=run)
+    sinks.write_index(first, path, collection="other")
+    assert sorted(map(tuple, sinks.read_index(spark, path).select("chunk_id", "norm").collect())) == [("a", 1.0), ("b", 5.0), ("c", 3.0)]
