@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import cut_lineage
+
 LEADING = 3
 AGREE = 0.8
 MIN_DOCUMENTS = 5
@@ -24,11 +26,14 @@ SKETCHES = 8
 VARIABLE = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    """The tokens of a line, variable fields masked; none if it is blank."""
+WORD_BREAKS = r"[\x20\x09-\x0D]+"
+FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+
+
+def _masked(line: Column) -> Column:
+    """A line without white space at its ends and with its variable fields masked."""
     inner = F.btrim(line, F.lit(" \t\x0b\x0c\r"))
-    masked = F.transform(F.split(inner, r"[\x20\x09-\x0D]+"), lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t))
-    return F.when(inner == "", F.lit(None)).otherwise(masked)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(inner, FIELD, VARIABLE)).otherwise(inner)
 
 
 def _least_leaf(entries: str, seed: int) -> Column:
@@ -36,51 +41,60 @@ def _least_leaf(entries: str, seed: int) -> Column:
     return F.array_min(F.transform(entries, lambda e: F.xxhash64(e["leaf"], F.lit(seed))))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n (place of the line), tokens, leaf, own (hash of all masked tokens) and sketches, for every line that is not blank."""
-    rows = docs.select("doc_id", F.split("text", "\n").alias("_lines")).where("doc_id IS NOT NULL")
-    rows = rows.withColumn("_tokens", F.transform("_lines", lambda line: _tokens(line)))
-    keyed = F.transform(
-        "_tokens",
-        lambda t, i: F.when(
-            t.isNotNull(),
-            F.struct(i.alias("n"), t.alias("tokens"), F.xxhash64(F.size(t), F.slice(t, 1, LEADING)).alias("leaf"), F.xxhash64(t).alias("own")),
-        ),
-    )
-    rows = rows.select("doc_id", F.filter(keyed, lambda e: e.isNotNull()).alias("_keyed"))
-    sketches = [_least_leaf("_keyed", k) for k in range(SKETCHES)]
-    return rows.select("doc_id", F.array(*sketches).alias("sketches"), F.explode("_keyed").alias("e")).select(
-        "doc_id", "sketches", "e.n", "e.tokens", "e.leaf", "e.own"
-    )
-
-
-def _recurring(keyed: DataFrame, key: str) -> DataFrame:
-    """Keys in enough documents that are not copies of one another. ``keyed``: doc_id, sketches and the key, once per document."""
-    often = keyed.groupBy(key).agg(F.count("*").alias("documents")).where(F.col("documents") >= MIN_DOCUMENTS)
-    rows = keyed.join(often, key, "left_semi").select(key, F.posexplode("sketches").alias("k", "sketch"))
-    families = rows.groupBy(key, "k", "sketch").agg(F.count("*").alias("n")).groupBy(key, "k").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-    enough = (F.col("kinds") >= MIN_DOCUMENTS) & (F.col("kinds") >= MIN_UNRELATED * F.col("n"))
-    return families.groupBy(key).agg(F.max(enough).alias("enough")).where("enough").select(key)
+def parsed(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, sketches, and entries of n (place of the line), leaf and own (hash of the masked line) for lines that are not blank."""
+    rows = docs.select("doc_id", F.transform(F.split("text", "\n"), _masked).alias("_masked")).where("doc_id IS NOT NULL")
 
+    def entry(line: Column, n: Column) -> Column:
+        leading = F.slice(F.split(line, WORD_BREAKS, LEADING + 1), 1, LEADING)
+        leaf = F.xxhash64(F.regexp_count(line, F.lit(WORD_BREAKS)), leading)
+        return F.when(line != "", F.struct(n.alias("n"), leaf.alias("leaf"), F.xxhash64(line).alias("own")))
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and n of every line whose template recurs."""
-    every = lines(docs)
-    # leaves that enough documents reach, and the constants of their lines
-    reached = every.select("doc_id", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("documents"))
-    leaves = reached.where(F.col("documents") >= MIN_DOCUMENTS).select("leaf")
-    within = every.join(leaves, "leaf", "left_semi")
-    heavy = within.select("leaf", F.posexplode("tokens").alias("p", "token")).groupBy("leaf", "p", "token").agg(F.count("*").alias("n"))
-    best = heavy.groupBy("leaf", "p").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
+    rows = rows.select("doc_id", F.filter(F.transform("_masked", entry), lambda e: e.isNotNull()).alias("entries"))
+    return rows.select("doc_id", "entries", F.array(*[_least_leaf("entries", k) for k in range(SKETCHES)]).alias("sketches"))
+
+
+def _templates(docs: DataFrame, within: DataFrame) -> DataFrame:
+    """leaf, own and template of the lines that have their leaf's template. Tokens are fetched once for each kind of line."""
+    kinds = within.groupBy("leaf", "own").agg(F.count("*").alias("w"), F.min(F.struct("doc_id", "n")).alias("at"))
+    several = kinds.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf")
+    wanted = kinds.join(several, "leaf", "left_semi").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.n", "leaf", "own", "w")).alias("_wanted"))
+    lines = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(wanted, "doc_id")
+    fetched = lines.select(F.split("text", "\n").alias("_lines"), F.explode("_wanted").alias("e"))
+    tokens = fetched.select("e.leaf", "e.own", "e.w", F.split(_masked(F.get("_lines", F.col("e.n"))), WORD_BREAKS).alias("tokens"))
+    tokens = cut_lineage(tokens)
+    counts = tokens.select("leaf", "w", F.posexplode("tokens").alias("p", "token")).groupBy("leaf", "p", "token").agg(F.sum("w").alias("n"))
+    best = counts.groupBy("leaf", "p").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     constant = F.when(2 * F.col("top.n") > F.col("all"), F.col("top.token"))
     parts = best.select("leaf", F.struct("p", constant.alias("token")).alias("part"))
     constants = parts.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list("part")), lambda e: e["token"]).alias("constants"))
-    told = within.join(constants, "leaf")
     agree = F.size(F.filter(F.zip_with("tokens", "constants", lambda a, b: a == b), lambda same: F.coalesce(same, F.lit(False))))
-    template = F.when(agree >= AGREE * F.size("tokens"), F.xxhash64("leaf", F.lit("template"))).otherwise(F.col("own"))
-    told = told.select("doc_id", "sketches", "n", template.alias("template"))
-    kinds = _recurring(told.dropDuplicates(["doc_id", "template"]), "template")
-    return told.join(kinds, "template", "left_semi").select("doc_id", "n")
+    fitting = tokens.join(constants, "leaf").where(agree >= AGREE * F.size("tokens"))
+    return fitting.select("leaf", "own", F.xxhash64("leaf", F.lit("template")).alias("_template")).distinct()
+
+
+def _recurring(told: DataFrame, documents: DataFrame) -> DataFrame:
+    """Templates in enough documents that are not copies of one another."""
+    once = told.select("template", "doc_id").distinct()
+    often = once.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCUMENTS).select("template")
+    rows = once.join(often, "template", "left_semi").join(documents.select("doc_id", "sketches").dropDuplicates(["doc_id"]), "doc_id")
+    rows = rows.select("template", F.posexplode("sketches").alias("k", "sketch"))
+    families = rows.groupBy("template", "k", "sketch").agg(F.count("*").alias("n"))
+    families = families.groupBy("template", "k").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    enough = (F.col("kinds") >= MIN_DOCUMENTS) & (F.col("kinds") >= MIN_UNRELATED * F.col("n"))
+    return families.groupBy("template").agg(F.max(enough).alias("enough")).where("enough").select("template")
+
+
+def recurring_lines(docs: DataFrame) -> DataFrame:
+    """doc_id and n of every line whose template recurs. Hashes of lines, not texts, are kept in the shared folder and shuffled."""
+    documents = cut_lineage(parsed(docs))
+    leaves = documents.select("doc_id", F.explode(F.array_distinct(F.transform("entries", lambda e: e["leaf"]))).alias("leaf"))
+    reached = leaves.groupBy("leaf").agg(F.count("*").alias("documents")).where(F.col("documents") >= MIN_DOCUMENTS).select("leaf")
+    every = documents.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.n", "e.leaf", "e.own")
+    within = cut_lineage(every.join(reached, "leaf", "left_semi"))
+    told = within.join(_templates(docs, within), ["leaf", "own"], "left")
+    told = cut_lineage(told.select("doc_id", "n", F.coalesce("_template", "own").alias("template")))
+    return told.join(_recurring(told, documents), "template", "left_semi").select("doc_id", "n")
 
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
