@@ -5,14 +5,12 @@ are neighbours there. Two sets of similarity 0.85 miss each other in all orders
 joined into families by an edge to the smallest id of their region, so the edges are linear in the documents whatever the regions' sizes.
 
 A family's sets are brought together once and every pair is counted exactly by an index of their shingles. A family too large
-for one task is read in deeper orders instead: as many signature values as its size calls for, so each region is
-again small; links found in any order count. Long, sorted runs are never compared beyond their region. Links then give components.
+for one task is compared region by region in the same orders, so its pairs are found with the same chance. Links then give components.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,20 +24,16 @@ from corpusmill.session import cut_lineage
 
 TREES = 32
 DEPTH = 5
-#: Orders and their greatest depth for families beyond the two bounds: sets and shingles of sets in one task.
-DEEP_TREES = 12
-DEEP_DEPTH = 24
+#: The most sets and shingles of sets that one task compares with each other.
 FAMILY_SETS = 3_000
 FAMILY_SHINGLES = 4_000_000
-#: A similarity that lookalikes in large families have at least, for the depth; lower ones only make regions smaller.
-LOOKALIKE = 0.7
 CHUNK_BYTES = 1 << 20
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, trees array<long>"
-MEMBER = "key long, doc_id long, shingles binary"
+MEMBER = "key long, hub boolean, doc_id long, shingles binary"
 LINK = "a long, b long"
 
-_SEEDS = np.random.default_rng(7).integers(0, 1 << 32, (2, max(TREES * DEPTH, DEEP_TREES * DEEP_DEPTH)), dtype=np.uint32)
+_SEEDS = np.random.default_rng(7).integers(0, 1 << 32, (2, 288), dtype=np.uint32)
 
 
 def signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
@@ -154,37 +148,62 @@ def _families(reps: DataFrame) -> DataFrame:
     return members.select("doc_id", "family").join(sizes, "family")
 
 
-def _links(docs: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges from every linked representative to the first of its component, within its family or one of its regions."""
+def _compared(docs: DataFrame, places: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges between similar sets that meet under a key. ``places``: key, hub, doc_id; under a key with a hub, sets are counted against it only."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _chunks(batches):
             sets = shingle_sets(texts, width)
-            keys, ids, data = [], [], []
+            keys, hubs, ids, data, size = [], [], [], [], 0
+
+            def batch() -> pa.RecordBatch:
+                columns = [pa.array(keys, pa.int64()), pa.array(hubs, pa.bool_()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, names=["key", "hub", "doc_id", "shingles"])
+
             for row, own in zip(rows, sets):
-                excess = max(row["sets"] / FAMILY_SETS, row["total"] / FAMILY_SHINGLES)
-                if excess <= 1:
-                    places = [row["family"]]
-                else:
-                    depth = min(DEEP_DEPTH, math.ceil(math.log(excess) / -math.log(LOOKALIKE)) + 1)
-                    signed = signatures([own], DEEP_TREES * DEEP_DEPTH)
-                    places = (prefixes(signed, DEEP_TREES, DEEP_DEPTH, depth)[0] ^ row["family"]).tolist()
-                keys += places
-                ids += [row["doc_id"]] * len(places)
-                data += [own.tobytes()] * len(places)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], names=["key", "doc_id", "shingles"])
+                value = own.tobytes()
+                for place in row["places"]:
+                    keys.append(place["key"])
+                    hubs.append(place["hub"])
+                    ids.append(row["doc_id"])
+                    data.append(value)
+                    size += len(value)
+                    if size > 16 * CHUNK_BYTES:
+                        yield batch()
+                        keys, hubs, ids, data, size = [], [], [], [], 0
+            yield batch()
 
     def compare(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_numpy()
         order = np.argsort(ids, kind="stable")
         sets = [np.frombuffer(group.column("shingles")[int(k)].as_py(), dtype=np.uint64) for k in order]
-        first = link(sets, percent) if len(sets) > 1 else np.zeros(len(sets), dtype=np.int64)
+        hubs = group.column("hub").to_numpy(zero_copy_only=False)[order]
         ids = ids[order]
+        first = np.arange(len(ids))
+        if hubs.any():
+            hub = int(hubs.argmax())
+            shared = np.array([np.isin(s, sets[hub], assume_unique=True).sum() for s in sets])
+            sizes = np.array([len(s) for s in sets])
+            first[100 * shared >= percent * (sizes + sizes[hub] - shared)] = hub
+        elif len(sets) > 1:
+            first = link(sets, percent)
         linked = first != np.arange(len(ids))
         return pa.table({"a": ids[linked], "b": ids[first[linked]]})
 
-    texts = docs.join(families, "doc_id").select("doc_id", "text", "family", "sets", "total")
-    return texts.mapInArrow(keyed, MEMBER).groupBy("key").applyInArrow(compare, LINK)
+    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "hub")).alias("places"))
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(keyed, MEMBER).groupBy("key").applyInArrow(compare, LINK)
+
+
+def _links(docs: DataFrame, reps: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges that connect linked representatives: within their family, or for large families within their regions."""
+    families = families.withColumn("large", (F.col("sets") > FAMILY_SETS) | (F.col("total") > FAMILY_SHINGLES))
+    whole = families.where("NOT large").select(F.col("family").alias("key"), F.lit(False).alias("hub"), "doc_id")
+    links = _compared(docs, whole, width, percent)
+    large = families.where("large").select("doc_id")
+    if large.isEmpty():
+        return links
+    every = reps.join(large, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("trees").alias("region"))
+    return links.unionByName(_compared(docs, every.select(F.col("region").alias("key"), F.lit(False).alias("hub"), "doc_id"), width, percent))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -199,8 +218,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    families = cut_lineage(_families(reps.select("doc_id", "n_shingles", "trees")))
-    found = components(_links(rows, families, width, percent)).select(F.col("node").alias("rep"), F.col("root").alias("component"))
+    reps = reps.select("doc_id", "n_shingles", "trees")
+    families = cut_lineage(_families(reps))
+    found = components(_links(rows, reps, families, width, percent)).select(F.col("node").alias("rep"), F.col("root").alias("component"))
     of_class = classes.join(found, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     member = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

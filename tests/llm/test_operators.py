@@ -265,6 +265,23 @@ def test_near_dedup(spark, docs, none, monkeypatch, width, percent, most):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def changed(words, start, n, mark):
+    return words[:start] + [f"{mark}y{k}" for k in range(n)] + words[start + n :]
+
+
+def test_near_dedup_pairs_in_a_large_family(spark, monkeypatch):
+    """Pairs of similarity 0.82 whose texts share half of their shingles with all others, so that all are one family."""
+    monkeypatch.setattr(near_dedup, "FAMILY_SETS", 20)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for i in range(150):
+        own = changed(base, 0, 100, f"a{i}")
+        texts += [" ".join(own), " ".join(changed(own, 150, 25, f"b{i}"))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = by_id(near_dedup.near_duplicates(frame, width=5, percent=80))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == plain_components(enumerate(texts), 5, 80)
+    assert all(r["component_id"] == i - i % 2 for i, r in got.items())
+
+
 def test_near_dedup_none_and_repeats(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
     twice = docs.where("doc_id = 6").unionByName(docs.where("doc_id in (6, 7)"))
