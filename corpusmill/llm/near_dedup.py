@@ -5,7 +5,9 @@ are neighbours there. Two sets of similarity 0.85 miss each other in all orders
 joined into families by an edge to the smallest id of their region, so the edges are linear in the documents whatever the regions' sizes.
 
 A family's sets are brought together once and every pair is counted exactly by an index of their shingles. A family too large
-for one task is compared region by region in the same orders, so its pairs are found with the same chance. Links then give components.
+for one task is compared region by region in the same orders, so its pairs are found with the same chance. First every set is counted
+against one set of each of its regions, a few times; then only regions that still hold different components go on. A region too
+large for one task is cut into blocks, and each pair of blocks that may hold a new link is a task of its own. Links then give components.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import components
@@ -27,6 +29,8 @@ DEPTH = 5
 #: The most sets and shingles of sets that one task compares with each other.
 FAMILY_SETS = 3_000
 FAMILY_SHINGLES = 4_000_000
+#: How often the sets of a large family are counted against one set of each of their regions.
+STARS = 3
 CHUNK_BYTES = 1 << 20
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, trees array<long>"
@@ -148,6 +152,15 @@ def _families(reps: DataFrame) -> DataFrame:
     return members.select("doc_id", "family").join(sizes, "family")
 
 
+def _parts(sets: Column, shingles: Column, share: int = 1) -> Column:
+    """The number of parts that hold at most the ``share``-th part of what one task compares."""
+    return F.greatest(F.ceil(share * sets / FAMILY_SETS), F.ceil(share * shingles / FAMILY_SHINGLES), F.lit(1)).cast("int")
+
+
+def _hash_part(parts: Column, seed: str) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), parts).cast("int")
+
+
 def _compared(docs: DataFrame, places: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges between similar sets that meet under a key. ``places``: key, hub, doc_id; under a key with a hub, sets are counted against it only."""
 
@@ -194,6 +207,48 @@ def _compared(docs: DataFrame, places: DataFrame, width: int, percent: int) -> D
     return docs.join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(keyed, MEMBER).groupBy("key").applyInArrow(compare, LINK)
 
 
+def _stars(leaves: DataFrame, turn: int) -> DataFrame:
+    """Places that bring each set to one set of another component in each of its regions. A hub's sets are dealt out to bounded tasks."""
+    order = F.xxhash64("doc_id", F.lit(turn))
+    hubs = leaves.groupBy("region").agg(F.min(F.struct(order.alias("order"), "doc_id", "component")).alias("h"), F.min("component").alias("low"), F.max("component").alias("high"))
+    hubs = hubs.where("low < high").select("region", F.col("h.doc_id").alias("hub_id"), F.col("h.component").alias("of_hub"))
+    pairs = leaves.join(hubs, "region").where("component <> of_hub").select("doc_id", "n_shingles", "hub_id").distinct()
+    tasks = pairs.groupBy("hub_id").agg(_parts(F.count("*"), F.sum("n_shingles")).alias("parts"))
+    members = pairs.join(tasks, "hub_id").select("hub_id", "doc_id", _hash_part(F.col("parts"), "star").alias("part"), F.lit(False).alias("hub"))
+    own = tasks.select("hub_id", F.col("hub_id").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("hub"))
+    return members.unionByName(own).select(F.xxhash64("hub_id", "part").alias("key"), "hub", "doc_id")
+
+
+def _blocks(leaves: DataFrame) -> DataFrame:
+    """Places for every pair of sets of one region that are in different components.
+
+    A region that fits into a task is one place. In others, components that fill blocks have blocks of their own, which do not
+    meet each other, and the rest is dealt out to common blocks.
+    """
+    of = leaves.groupBy("region", "component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total"))
+    of = of.withColumn("own", _parts(F.col("sets"), F.col("total"), 2)).withColumn("filled", F.col("own") > 1)
+    rest = lambda c: F.coalesce(F.sum(F.when(~F.col("filled"), F.col(c))), F.lit(0))
+    regions = of.groupBy("region").agg(
+        F.count("*").alias("components"), _parts(F.sum("sets"), F.sum("total")).alias("tasks"), rest("sets").alias("sets"), rest("total").alias("total")
+    )
+    regions = regions.where("components > 1").select("region", "tasks", F.when(F.col("sets") > 0, _parts(F.col("sets"), F.col("total"), 2)).otherwise(0).alias("common"))
+    small = leaves.join(regions.where("tasks = 1"), "region").select(F.col("region").alias("key"), F.lit(False).alias("hub"), "doc_id")
+
+    large = regions.where("tasks > 1").select("region", "common")
+    filled = of.where("filled").select("region", "component", "own")
+    owns = filled.join(large.select("region"), "region").select("region", F.col("component").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("part"))
+    commons = large.where("common > 0").select("region", F.lit(None).cast("long").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("common") - 1)).alias("part"))
+    blocks = owns.unionByName(commons).withColumn("block", F.xxhash64(F.coalesce("owner", F.lit(0)), F.col("owner").isNull(), "part"))
+    other = blocks.select("region", F.col("owner").alias("other_owner"), F.col("block").alias("other"))
+    meeting = blocks.join(other, "region").where("owner IS NULL OR other_owner IS NULL OR owner <> other_owner").select("region", "block", "other")
+    members = leaves.join(large, "region").join(filled, ["region", "component"], "left")
+    part = F.when(F.col("own").isNotNull(), _hash_part(F.col("own"), "own")).otherwise(_hash_part(F.col("common"), "common"))
+    owner = F.when(F.col("own").isNotNull(), F.col("component"))
+    members = members.select("region", "doc_id", F.xxhash64(F.coalesce(owner, F.lit(0)), owner.isNull(), part).alias("block"))
+    key = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
+    return small.unionByName(members.join(meeting, ["region", "block"]).select(key.alias("key"), F.lit(False).alias("hub"), "doc_id"))
+
+
 def _links(docs: DataFrame, reps: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges that connect linked representatives: within their family, or for large families within their regions."""
     families = families.withColumn("large", (F.col("sets") > FAMILY_SETS) | (F.col("total") > FAMILY_SHINGLES))
@@ -203,7 +258,16 @@ def _links(docs: DataFrame, reps: DataFrame, families: DataFrame, width: int, pe
     if large.isEmpty():
         return links
     every = reps.join(large, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("trees").alias("region"))
-    return links.unionByName(_compared(docs, every.select(F.col("region").alias("key"), F.lit(False).alias("hub"), "doc_id"), width, percent))
+    shared = every.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
+    every = cut_lineage(every.join(shared, "region", "left_semi"))
+    leaves, found = every.withColumn("component", F.col("doc_id")), None
+    for turn in range(STARS):
+        new = _compared(docs, _stars(leaves, turn), width, percent)
+        found = cut_lineage(new if found is None else found.unionByName(new))
+        roots = components(found).select(F.col("node").alias("doc_id"), "root")
+        leaves = every.join(roots, "doc_id", "left").select("doc_id", "n_shingles", "region", F.coalesce("root", "doc_id").alias("component"))
+        leaves = cut_lineage(leaves)
+    return links.unionByName(found).unionByName(_compared(docs, _blocks(leaves), width, percent))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:

@@ -282,6 +282,25 @@ def test_near_dedup_pairs_in_a_large_family(spark, monkeypatch):
     assert all(r["component_id"] == i - i % 2 for i, r in got.items())
 
 
+def test_near_dedup_region_beyond_a_task(spark, monkeypatch):
+    """Texts that differ in one word each stay together at any depth; no task compares many more sets than the bound."""
+    monkeypatch.setattr(near_dedup, "FAMILY_SETS", 20)
+    large, link = spark.sparkContext.accumulator(0), near_dedup.link
+
+    def watched(sets, percent):
+        large.add(len(sets) > 60)
+        return link(sets, percent)
+
+    monkeypatch.setattr(near_dedup, "link", watched)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(changed(base, i % 300, 1, f"a{i}")) for i in range(400)]
+    texts += [" ".join(changed(base, 0, 40 + k, f"b{k}")) for k in range(12)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = by_id(near_dedup.near_duplicates(frame, width=5, percent=80))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == plain_components(enumerate(texts), 5, 80)
+    assert large.value == 0
+
+
 def test_near_dedup_none_and_repeats(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
     twice = docs.where("doc_id = 6").unionByName(docs.where("doc_id in (6, 7)"))
