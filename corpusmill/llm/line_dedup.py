@@ -7,7 +7,8 @@ its own template. Constants come from counts, so the tree does not depend on the
 
 A template recurs if it is in at least ``MIN_DOCUMENTS`` documents that are not copies of one another. Copies are told by
 sketches: the smallest leaf hash of a document's lines under a few hash functions. Copies, near ones too, mostly
-agree in a sketch; unrelated documents that share a passage do not. Lines of recurring templates are dropped.
+agree in a sketch; unrelated documents that share a passage do not. Where copies are many, the documents are counted that are
+alone with at least half of their sketches, and each group of copies once. Lines of recurring templates are dropped.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from corpusmill.session import cut_lineage
 LEADING = 3
 AGREE = 0.8
 MIN_DOCUMENTS = 5
-#: Of the documents with a template, the share that must be no copies of others.
+#: Of the documents with a template, the share that are no copies of others, for any sketch to tell them apart alone.
 MIN_UNRELATED = 0.5
 SKETCHES = 8
+SALTS = 32
 VARIABLE = "<*>"
 
 
@@ -78,11 +80,19 @@ def _recurring(told: DataFrame, documents: DataFrame) -> DataFrame:
     once = told.select("template", "doc_id").distinct()
     often = once.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCUMENTS).select("template")
     rows = once.join(often, "template", "left_semi").join(documents.select("doc_id", "sketches").dropDuplicates(["doc_id"]), "doc_id")
-    rows = rows.select("template", F.posexplode("sketches").alias("k", "sketch"))
-    families = rows.groupBy("template", "k", "sketch").agg(F.count("*").alias("n"))
-    families = families.groupBy("template", "k").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    rows = rows.select("template", "doc_id", F.posexplode("sketches").alias("k", "sketch"))
+    families = rows.groupBy("template", "k", "sketch").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    found = families.groupBy("template", "k").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("groups"))
     enough = (F.col("kinds") >= MIN_DOCUMENTS) & (F.col("kinds") >= MIN_UNRELATED * F.col("n"))
-    return families.groupBy("template").agg(F.max(enough).alias("enough")).where("enough").select("template")
+    found = found.groupBy("template").agg(F.max(enough).alias("enough"), F.max("kinds").alias("kinds"), F.min("groups").alias("groups"))
+    found = cut_lineage(found.where(F.col("enough") | (2 * F.col("kinds") >= MIN_DOCUMENTS)))  # fewer kinds cannot come to enough
+    open_ = found.where("NOT enough").select("template", "groups")
+    salted = families.where("n = 1").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))  # one template may have most rows
+    salts = open_.select("template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    alone = salted.join(salts, ["template", "salt"], "left_semi").groupBy("template", "salt", "doc_id").agg(F.count("*").alias("n"))
+    alone = alone.where(2 * F.col("n") >= SKETCHES).groupBy("template").agg(F.count("*").alias("alone"))
+    others = open_.join(alone, "template", "left").where(F.coalesce("alone", F.lit(0)) + F.col("groups") >= MIN_DOCUMENTS).select("template")
+    return found.where("enough").select("template").unionByName(others)
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:

@@ -396,6 +396,19 @@ def test_line_dedup(spark, none):
     assert line_dedup.drop_recurring(none.select("doc_id", "text")).count() == 0
 
 
+def test_line_dedup_among_copies(spark):
+    """Copies of one of the documents that hold a notice do not keep it; a group of near copies alone keeps its lines."""
+    line = lambda seed, n=9: prose(seed, n).replace("\n", " ")
+    notice = line(78, 60)
+    texts = ["\n".join([*(line(10_000 + 10 * k + j) for j in range(6)), notice]) for k in range(30)]
+    texts += [texts[7]] * 100
+    near = [line(20_000 + j) for j in range(20)]
+    texts += ["\n".join([*near[: k % 20], line(30_000 + k), *near[k % 20 + 1 :]]) for k in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = by_id(line_dedup.drop_recurring(frame))
+    assert {i: r["text"] for i, r in got.items()} == {i: t.removesuffix("\n" + notice) for i, t in enumerate(texts)}
+
+
 # 8 -----------------------------------------------------------------------------------------------
 
 
