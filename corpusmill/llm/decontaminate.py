@@ -3,7 +3,8 @@
 Texts and passages are compared as normal text: lower case, runs of anything but letters and digits as one space. If a passage
 of m characters occurs in a text with at most e edits, they share at least ``m + 1 - q (e + 1)`` q-grams whose
 diagonals (place in the text less place in the passage) lie within e of each other. Shared q-grams are counted in overlapping
-bands of diagonals, regions that reach the bound are kept, and a banded alignment of the whole passage verifies them.
+bands of diagonals, regions that reach the bound are kept, and a banded alignment of the whole passage verifies them. Texts
+are searched many at a time; a region that touches several is aligned with each of them by itself.
 
 Passages longer than ``SEGMENT`` are cut into overlapping segments; each is searched by itself. The passages are
 taken in blocks of bounded size; every block meets every text, so the table of passages may grow.
@@ -111,16 +112,22 @@ class Passages:
         return kept // width, kept % width + shift
 
     def search(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item_id, start, end, edits) of verified regions; ``starts``: where each text begins in ``codes``."""
+        """(text, item_id, start, end, edits) of verified regions, each text that a region touches by itself; ``starts``: where each text begins in ``codes``."""
+        ends = np.r_[starts[1:] - 1, len(codes)]  # one character stands between two texts
         for segment, band in zip(*(x.tolist() for x in self.regions(codes))):
             item_id, passage = self.segments[segment]
             budget, m = int(self.edits[segment]), len(passage)
             low, high = max(0, band * BAND - budget), (band + 1) * BAND + m + 2 * budget
-            found = align(_codes(passage), codes[low:high], budget, BAND + 3 * budget)
-            if found:
-                edits, start, end = found
-                text = int(np.searchsorted(starts, low + start, side="right")) - 1
-                yield text, item_id, low + start - int(starts[text]), low + end - int(starts[text]), edits
+            letters = _codes(passage)
+            for text in range(int(np.searchsorted(starts, low, side="right")) - 1, int(np.searchsorted(starts, high))):
+                first, last = max(low, int(starts[text])), min(high, int(ends[text]))
+                if last - first < m - budget:
+                    continue
+                found = align(letters, codes[first:last], budget, BAND + 3 * budget)
+                if found:
+                    edits, start, end = found
+                    start, end = (first - int(starts[text]) + k for k in (start, end))
+                    yield text, item_id, start, end, edits
 
 
 def align(passage: np.ndarray, region: np.ndarray, budget: int, band: int) -> tuple[int, int, int] | None:

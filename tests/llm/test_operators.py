@@ -376,6 +376,18 @@ def test_banded_alignment_and_filter():
         assert [f[1] for f in index.search(decontaminate._codes(text), np.array([0]))]
 
 
+def test_decontamination_of_neighbours(spark):
+    """Short documents next to each other in one batch, with the same passage, whole or with an edit."""
+    question = "how tall is the old tower of the town"
+    texts = [question if k % 3 else question.replace("old", "odd") for k in range(60)] + [f"so {question}"] * 20 + ["tower of the town"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, question), (2, "the old tower of the town")], "item_id long, text string")
+    rows = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["edits"]) for r in decontaminate.contaminated(frame, items).collect()}
+    want = {(d, 1): (t.find("how"), len(t), int("odd" in t)) for d, t in enumerate(texts[:80])}
+    assert {k: v for k, v in rows.items() if k[1] == 1} == want
+    assert {d for d, i in rows if i == 2} == set(range(80))
+
+
 # 7 -----------------------------------------------------------------------------------------------
 
 
