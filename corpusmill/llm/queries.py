@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, html_extract, licenses, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, token_files, whitening
+from corpusmill.llm import conversation_repair, decontaminate, html_extract, licenses, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, token_files, whitening
 
 #: Name and vocabulary size of the tokenizer files that the queries use.
 BYTE_TOKENIZER, BYTE_VOCABULARY = "byte_bpe_50k.json", 50_257
@@ -69,6 +69,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows, whitening.fit(rows))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.summaries(*conversation_repair.repair(rows))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -81,5 +86,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_license_scan": op10_license_scan,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 ORACLE: dict[str, str] = {}
