@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import conversation_repair, decontaminate, html_extract, licenses, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, token_files, whitening
+from corpusmill.llm import conversation_repair, decontaminate, html_extract, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, suffix_dedup, token_files, whitening
 
 #: Name and vocabulary size of the tokenizer files that the queries use.
 BYTE_TOKENIZER, BYTE_VOCABULARY = "byte_bpe_50k.json", 50_257
@@ -74,6 +74,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.summaries(*conversation_repair.repair(rows))
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -87,5 +91,6 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_source_mixing": op13_source_mixing,
 }
 ORACLE: dict[str, str] = {}
