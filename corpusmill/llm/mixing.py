@@ -165,8 +165,9 @@ def mix(
     rounds = sources.where("source_size > 0").select(F.col("k").alias("_k"), F.expr("CAST(round(target) AS BIGINT) DIV source_size").alias("whole"), (quota % F.col("source_size")).alias("rest"))
     held = held.join(rounds, F.col("k") == F.col("_k")).drop("_k")
     held = held.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.col("rest") - F.col("_before"))))
+    held = held.withColumn("_part_nth", F.coalesce(F.count(F.when(F.col("part") > 0, 1)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     held = held.withColumn("epochs", F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).where("epochs > 0")
-    held = cut_lineage(held.select("k", "block", "nth", "n_blocks", "whole", "part", "epochs"))
+    held = cut_lineage(held.select("k", "block", "nth", "_part_nth", "n_blocks", "whole", "part", "epochs"))
 
     quotas = held.groupBy("k").agg(F.sum("epochs").alias("quota")).agg(F.sort_array(F.collect_list(F.struct("k", "quota"))).alias("_q"))
     dealt = splitting_tree(quotas.select("_q", F.col("_q.quota").alias("quota")), shards, seed).select("shard", F.posexplode("quota").alias("i", "quota"))
@@ -176,7 +177,7 @@ def mix(
     drawn = held.join(numbered, F.col("k") == F.col("_k")).withColumn("_epoch", F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1))
 
     def draw(epoch: Column) -> Column:
-        number = epoch * F.col("n_blocks") + F.col("nth")
+        number = epoch * F.col("n_blocks") + F.when(epoch == F.col("whole"), F.col("_part_nth")).otherwise(F.col("nth"))
         return F.struct(
             epoch.cast("int").alias("epoch"), F.size(F.filter("ends", lambda e: e <= number)).alias("shard"), F.when(epoch == F.col("whole"), F.col("part")).alias("limit")
         )
