@@ -144,6 +144,16 @@ def csv_two_headers(spark, sf_dir):
     return files.csv_documents(spark, path).select("content")
 
 
+def csv_line_breaks(spark, sf_dir):
+    """Documents and reviews of parts as CSV files with different headers, whose texts hold line breaks, commas and quotes."""
+    path = scratch_path(spark, "csv")
+    table(spark, sf_dir, "documents").select("doc_id", "text", "lang").write.csv(f"{path}/a", header=True, escape='"', quoteAll=True, lineSep="\n")
+    quoted = F.concat(F.lit('say "'), "p_name", F.lit('",\n'), "p_type", F.lit("\r\nend"))
+    table(spark, sf_dir, "part").select(quoted.alias("note"), "p_partkey").write.csv(f"{path}/b", header=True, escape='"', quoteAll=True, lineSep="\n")
+    rows, _ = files.csv_rows(spark, path)
+    return rows.select(F.array_join("header", "|").alias("header"), F.array_join("values", "|").alias("row"))
+
+
 def _csv_source(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit('a "b", '), "s_name").alias("s_name"), "s_nationkey")
 
@@ -229,6 +239,7 @@ QUERIES = {
     "csv_lines": csv_lines,
     "csv_summary": csv_summary,
     "csv_two_headers": csv_two_headers,
+    "csv_line_breaks": csv_line_breaks,
     "json_documents": json_documents,
     "object_kinds": object_kinds,
     "docx_documents": docx_documents,
@@ -240,6 +251,9 @@ _KV = """
 SELECT event_type || ':' || user_id || ':' || event_id AS key, user_id % 2 = 0 AS nested, props, event_type, event_id FROM events"""
 
 ORACLE = {
+    "csv_line_breaks": """
+SELECT 'doc_id|text|lang' AS header, doc_id || '|' || text || '|' || lang AS "row" FROM documents UNION ALL
+SELECT 'note|p_partkey', 'say "' || p_name || '",' || chr(10) || p_type || chr(13) || chr(10) || 'end|' || p_partkey FROM part""",
     "csv_two_headers": """
 SELECT '{"s_suppkey":"' || s_suppkey || '","s_name":"' || s_name || '"}' AS content FROM supplier
 UNION ALL SELECT '{"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_custkey":"' || c_custkey || '"}' FROM customer""",

@@ -7,9 +7,10 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 PATH = "_metadata.file_path"
 
@@ -44,31 +45,122 @@ def _limited(rows: DataFrame, spark: SparkSession, path: str, limit: int | None)
     return rows.join(chosen, "_path", "left_semi")
 
 
-def _csv_values(line: Column) -> Column:
-    """The fields of a CSV line; quotes may enclose commas, doubled quotes stand for one."""
-    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("(?:[^"]|"")*"|[^,]*)'), 1)
+# A CSV field, and the rest of a line that begins inside a quoted one. The loops are possessive, so they neither recurse nor turn back.
+_QUOTED = r'[^"]*+(?:""[^"]*+)*+'
+_FIELD = rf'(?:"{_QUOTED}"[^,]*+|(?!")[^,]*+)'
+_CLOSED_LINE = rf"^\ufeff?+{_FIELD}(?:,{_FIELD})*+\z"
+_CLOSING_LINE = rf'^{_QUOTED}"[^,]*+(?:,{_FIELD})*+\z'
+
+
+def _csv_values(record: Column) -> Column:
+    """The fields of a CSV record; quotes may enclose commas and line breaks, doubled quotes stand for one. A quote inside an unquoted
+    field is a letter, and so is what follows a closing quote; a field that is never closed reaches to the end."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(rf',("{_QUOTED}"?+[^,]*+|[^,]*+)'), 1)
+    parts = rf'(?s)^"({_QUOTED})"?+(.*)\z'
 
     def plain(field: Column) -> Column:
-        inner = F.replace(F.substr(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))
-        return F.when(F.startswith(field, F.lit('"')), inner).otherwise(field)
+        body = F.replace(F.regexp_extract(field, parts, 1), F.lit('""'), F.lit('"'))
+        return F.when(F.startswith(field, F.lit('"')), F.concat(body, F.regexp_extract(field, parts, 2))).otherwise(field)
 
     return F.transform(fields, plain)
 
 
+def _csv_lines(spark: SparkSession, path: str, pattern: str, limit: int | None) -> DataFrame:
+    """Lines with their place and what they do to the reader: ``_opens``, whether a field is open after the line if none was before it,
+    and ``_stays``, the same if one was. A carriage return ends a line too, and stays with it."""
+    lines = spark.read.options(recursiveFileLookup="true", pathGlobFilter=pattern, lineSep="\n").text(path)
+    lines = lines.select(F.col(PATH).alias("_path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line"), "value")
+    pieces = F.when(F.col("value").rlike(r"\r(?!\z)"), F.split("value", r"(?<=\r)(?!\z)")).otherwise(F.array("value"))
+    lines = _limited(lines, spark, path, limit).select("_path", "_split", "_line", F.posexplode(pieces).alias("_piece", "value"), F.size(pieces).alias("_pieces"))
+    return lines.select(
+        "_path",
+        "_split",
+        F.struct(F.col("_split"), F.col("_line"), F.col("_piece")).alias("_place"),
+        "value",
+        F.when(F.col("_piece") == F.col("_pieces") - 1, "\n").otherwise("").alias("_end"),
+    ).withColumns({"_opens": ~F.col("value").rlike(_CLOSED_LINE), "_stays": ~F.col("value").rlike(_CLOSING_LINE)})
+
+
+def _state_before(opens: Column, stays: Column, order: WindowSpec) -> Column:
+    """Whether a field is open before each row if none was open before the first, and if one was: a struct (closed, opened).
+
+    A row sets the state, keeps it or turns it round. So the state is what the last setting row made it, turned round as often as
+    rows have turned it since; sums and a last value tell it, and no row waits for another.
+    """
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.coalesce(F.sum((opens & ~stays).cast("long")).over(earlier), F.lit(0))
+    last = F.last(F.when(opens == stays, F.struct(opens.alias("open"), F.col("_turns").alias("turns"))), ignorenulls=True).over(earlier)
+
+    def state(start: bool) -> Column:
+        begin = F.coalesce(last["open"], F.lit(start))
+        return begin != ((turns - F.coalesce(last["turns"], F.lit(0))) % 2 == 1)
+
+    return F.struct(state(False).alias("closed"), state(True).alias("opened"))
+
+
+def _with_state(rows: DataFrame, order: WindowSpec) -> DataFrame:
+    """Adds ``_before``; see _state_before."""
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_turns", F.sum((F.col("_opens") & ~F.col("_stays")).cast("long")).over(so_far))
+    return rows.withColumn("_before", _state_before(F.col("_opens"), F.col("_stays"), order)).drop("_turns")
+
+
+def _quoted_records(lines: DataFrame) -> DataFrame:
+    """Records of files with line breaks inside quotes: _path, _place (of the first line), record. A field that is never closed ends
+    with the file, which is taken to end with a line break.
+
+    Every split scans its own lines and says what it does to the state, as a line does. A window over the splits of a file, one row each,
+    gives the state at each split's start, and its lines take theirs from it. A record begins at a line before which no field is open.
+    """
+    within = Window.partitionBy("_path", "_split").orderBy("_place")
+    over_splits = Window.partitionBy("_path").orderBy("_split")
+    earlier_splits = over_splits.rowsBetween(Window.unboundedPreceding, -1)
+    scanned = _with_state(lines, within)
+
+    def after(state: Column) -> Column:
+        return F.when(state, F.col("_stays")).otherwise(F.col("_opens"))
+
+    ends = F.struct(after(F.col("_before.closed")).alias("opens"), after(F.col("_before.opened")).alias("stays"))
+    splits = scanned.groupBy("_path", "_split").agg(
+        F.max_by(ends, "_place").alias("_ends"),
+        F.max(F.when(~F.col("_before.closed"), F.col("_place"))).alias("_last_closed"),
+        F.max(F.when(~F.col("_before.opened"), F.col("_place"))).alias("_last_opened"),
+    )
+    splits = splits.withColumns({"_opens": F.col("_ends.opens"), "_stays": F.col("_ends.stays")})
+    splits = _with_state(splits, over_splits).withColumn("_open", F.col("_before.closed"))
+    last = F.when(F.col("_open"), F.col("_last_opened")).otherwise(F.col("_last_closed"))
+    splits = splits.withColumn("_from", F.last(last, ignorenulls=True).over(earlier_splits))
+    known = scanned.join(splits.select("_path", "_split", "_open", "_from"), ["_path", "_split"])
+    known = known.withColumn("_inside", F.when(F.col("_open"), F.col("_before.opened")).otherwise(F.col("_before.closed")))
+    first = F.last(F.when(~F.col("_inside"), F.col("_place")), ignorenulls=True).over(within)
+    named = known.withColumn("_first", F.coalesce(first, F.col("_from")))
+    parts = F.sort_array(F.collect_list(F.struct("_place", F.concat("value", "_end").alias("text"))))
+    text, unclosed = F.array_join(parts["text"], ""), F.max_by(after(F.col("_inside")), "_place")
+    records = named.groupBy("_path", F.col("_first").alias("_place")).agg(text.alias("record"), unclosed.alias("_unclosed"))
+    return records.withColumn("record", F.when(F.col("_unclosed"), F.col("record")).otherwise(_without_end(F.col("record")))).drop("_unclosed")
+
+
+def _without_end(record: Column) -> Column:
+    return F.regexp_replace(record, r"\r?\n?\z", "")
+
+
 def csv_rows(spark: SparkSession, path: str, *, limit: int | None = None, pattern: str = "*.csv") -> tuple[DataFrame, DataFrame]:
-    """Rows (_path, header, values) and headers (_path, header) of CSV files, each by its own first line.
+    """Rows (_path, header, values) and headers (_path, header) of CSV files, each by its own first record.
 
-    Files are read as lines and stay splittable. Rows shorter than the header are filled with empty texts, further values are dropped.
+    Files are read as lines and stay splittable. Where a line leaves a quoted field open, the file's splits are scanned for the state at each
+    line (see _quoted_records); the lines of all other files are their records. Empty records are passed over, records shorter
+    than the header are filled with empty texts, further values are dropped.
     """
-    lines = spark.read.options(recursiveFileLookup="true", pathGlobFilter=pattern).text(path)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = lines.select(F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col(PATH).alias("_path"), place.alias("_place"))
-    lines = _limited(lines.where(F.trim("value") != ""), spark, path, limit)
-    first = lines.groupBy("_path").agg(F.min("_place").alias("_first"), F.min_by("value", "_place").alias("_header"))
-    headers = first.select("_path", "_first", _csv_values(F.col("_header")).alias("header"))
-    rows = lines.join(headers, "_path").where(F.col("_place") > F.col("_first"))
+    lines = _csv_lines(spark, path, pattern, limit)
+    marked = lines.where("_opens").select("_path").distinct()
+    plain = lines.join(marked, "_path", "left_anti").select("_path", "_place", _without_end(F.col("value")).alias("record"))
+    records = plain.unionByName(_quoted_records(lines.join(marked, "_path", "left_semi")))
+    records = records.where("record <> ''")
+    first = records.groupBy("_path").agg(F.min("_place").alias("_first"), F.min_by("record", "_place").alias("_header"))
+    headers = first.select("_path", "_first", _csv_values(F.regexp_replace("_header", "^\ufeff", "")).alias("header"))
+    rows = records.join(headers, "_path").where(F.col("_place") > F.col("_first"))
     missing = F.array_repeat(F.lit(""), F.size("header"))
-    values = F.slice(F.concat(_csv_values(F.col("value")), missing), 1, F.size("header"))
+    values = F.slice(F.concat(_csv_values(F.col("record")), missing), 1, F.size("header"))
     return rows.select("_path", "header", values.alias("values")), headers.select("_path", "header")
 
 
@@ -135,11 +227,12 @@ def text_documents(spark: SparkSession, path: str, *, limit: int | None = None)
 
 def object_documents(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFrame:
     """All files below ``path``, each kind in its own way."""
-    kinds = {r["kind"] for r in list_files(spark, path).select(extension(F.col("path")).alias("kind")).distinct().collect()}
+    kinds = list_files(spark, path).select(extension(F.col("path")).alias("kind"))
+    has = {kind: not kinds.where(F.col("kind") == kind).isEmpty() for kind in ("csv", "json")}
     result = text_documents(spark, path, limit=limit)
-    if "csv" in kinds:
+    if has["csv"]:
         result = result.unionByName(csv_documents(spark, path, limit=limit))
-    if "json" in kinds:
+    if has["json"]:
         result = result.unionByName(json_documents(spark, path, limit=limit))
     return result
 

@@ -1,3 +1,5 @@
+import csv
+import io
 import json
 import random
 
@@ -104,6 +106,50 @@ def test_csv_files_keep_their_own_headers(spark, tmp_path):
     assert summary == {"a.csv": ("name,age", 2), "b.csv": ("city,zip", 1), "c.csv": ("only,header", 0)}
 
 
+csv.field_size_limit(1 << 30)
+CSV_FILES = {
+    "w1.csv": 'name,note\nann,plain\nbob,"two\nlines, one field"\ncy,"a ""quoted"" word"\n',
+    "crlf.csv": 'a,b\r\n"x\r\ny",1\r\n,"\r\n"\r\n"",""\r\n',
+    "stray.csv": 'a,b\nit"s,5"\n"closed"tail,"x"\n"a""",""""\n  "no",quote\n',
+    "blank.csv": 'a,b\n\n"one\n\n\ntwo",2\n\n   ,3\n',
+    "never.csv": 'a,b\n1,2\n"open, to the\nend,3\n4,5\n',
+    "header.csv": '"first\nname",b\n1,2\n"3\n",4',
+    "commas.csv": 'a,b,c\n,,\n"",,"a,b"\n",",",\n","\n"\n',
+    "long.csv": 'a,b\n1,"' + 'x""y\n' * 4000 + '"\n2,"' + "z" * 1_000_000 + '"\n3,plain\n',
+    "mac.csv": 'a,b\r1,"x\ry"\r2,3\r',
+    "bom.csv": '\ufeffa,b\n1,"\n\ufeff"\n',
+}
+
+
+def csv_by_python(text):
+    """What Python's csv makes of a file: header and rows, filled up and cut to the header."""
+    rows = [r for r in csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")) if r]
+    return tuple(rows[0]), sorted(tuple((r + [""] * len(rows[0]))[: len(rows[0])]) for r in rows[1:])
+
+
+@pytest.mark.parametrize("split", [None, 64, 7])
+def test_csv_as_python_reads_it(spark, tmp_path, split):
+    """Quoted line breaks, stray quotes and long fields, whole and over many splits."""
+    rng = random.Random(split)
+    made = {f"r{k}.csv": "h,i\n" + "".join(rng.choice('",\n"ab\n') for _ in range(300)) + "\n" for k in range(6)}
+    named = {n: t for n, t in {**CSV_FILES, **made}.items() if split is None or len(t) < 2000}
+    for name, text in named.items():
+        (tmp_path / name).write_bytes(text.encode())
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    try:
+        if split:
+            for key, value in zip(keys, (split, 1, 1)):
+                spark.conf.set(key, str(value))
+        rows, headers = files.csv_rows(spark, str(tmp_path))
+        found = {r["_path"].rsplit("/", 1)[1]: (tuple(r["header"]), []) for r in headers.collect()}
+        for r in rows.collect():
+            found[r["_path"].rsplit("/", 1)[1]][1].append(tuple(r["values"]))
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert {n: (h, sorted(r)) for n, (h, r) in found.items()} == {n: csv_by_python(t) for n, t in named.items()}
+
+
 @pytest.mark.parametrize("glob, key, ok", [("user:*", "user:1", True), ("user:?", "user:12", False), ("[us]*", "session:a", True), ("a.c", "abc", False), ("[^u]*", "user", False)])
 def test_globs(spark, glob, key, ok):
     assert spark.range(1).select(F.rlike(F.lit(key), F.lit(landed.glob_pattern(glob))).alias("m")).first()["m"] is ok
