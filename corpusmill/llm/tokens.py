@@ -15,9 +15,8 @@ from collections.abc import Iterable, Iterator
 import regex
 
 END = (0).to_bytes(4, "little")
-PIECES = 400_000
-PRE_TOKENS = 600_000
-BATCH_CHARS = 1 << 20
+PIECES = 700_000
+PRE_TOKENS = 400_000
 
 _DOUBLE = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -29,27 +28,47 @@ _WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}
 #: The letter that stands for each byte: itself if printable, else the next free one from U+0100.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPACE = chr(_LETTERS[0x20])
+_MARKS = ".,;:!?"
+
+
+class _Pieces(dict):
+    """Ids of pieces by text. A missing one is encoded, and kept while there is room; frequent pieces come early."""
+
+    def __init__(self, encode, room: int):
+        super().__init__()
+        self.encode, self.room = encode, room
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(self) < self.room:
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. ``spaced``: the tokenizer keeps spaces (byte level) or drops them."""
+    """Ids of texts as little-endian unsigned 32-bit bytes. ``spaced``: the tokenizer keeps spaces (byte level) or drops them.
+
+    A text that holds the string of an added token, which the tokenizer finds before it cuts, goes through the tokenizer whole.
+    """
 
     def __init__(self, path: str, *, spaced: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.tokenizer.model.tokenize
         self.spaced = spaced
-        self.pieces: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE)
+        self.marks = {c for t in added for c in (t[:1].lower(), t[:1].upper())}  # what an added token begins with
+        self.findall = (_BYTE_LEVEL if spaced else _WORD_LEVEL).findall
+        self.tokens = _Pieces(self._model, PRE_TOKENS)
+        self.pieces = _Pieces(self._piece, PIECES)
+        self.firsts = _Pieces(self._direct, PIECES // 8)
 
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+    def _direct(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _split(self, text: str) -> list[str]:
         """Pieces of a text. With spaces kept, the first comes first and as it is; the others lack their leading space."""
@@ -60,62 +79,37 @@ class Encoder:
             return [first, *(p[1:] for p in rest)]
         return text.split(" ")
 
-    def _model(self, token: str) -> bytes:
-        """The ids of one normalised pre-token: its bytes as the byte-level letters, through the tokenizer's model."""
-        letters = token.encode().decode("latin-1").translate(_LETTERS)
+    def _model(self, letters: str) -> bytes:
+        """The ids of one normalised pre-token in byte-level letters, through the tokenizer's model."""
         return array("I", [t.id for t in self.model(letters)]).tobytes()
 
-    def _ids(self, missing: list[str]) -> dict[str, bytes]:
-        """The ids of pieces: by their pre-tokens for Latin text, else by the tokenizer as a whole."""
-        out, tokens, odd = {}, self.tokens, []
-        findall = (_BYTE_LEVEL if self.spaced else _WORD_LEVEL).findall
-        for piece in missing:
-            text = " " + piece if self.spaced else piece.lower()
-            if not _LATIN.fullmatch(piece):
-                odd.append(piece)
-                continue
-            parts = []
-            for token in findall(text):
-                ids = tokens.get(token)
-                if ids is None:
-                    ids = self._model(token)
-                    if len(tokens) < PRE_TOKENS:
-                        tokens[token] = ids
-                parts.append(ids)
-            out[piece] = b"".join(parts)
-        out.update(zip(odd, self._direct([" " + p for p in odd] if self.spaced else odd)))
-        return out
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece: by its pre-tokens for Latin text, else by the tokenizer as a whole."""
+        if piece.isascii():  # a plain word, as it is or before a punctuation mark: its letters stand for themselves
+            word, mark = (piece, "") if piece[-1:].isalpha() else (piece[:-1], piece[-1:])
+            if word.isalpha() and (not mark or mark in _MARKS):
+                ids = self.tokens[_SPACE + word if self.spaced else word.lower()]
+                return ids + self.tokens[mark] if mark else ids
+        text = " " + piece if self.spaced else piece
+        if not _LATIN.fullmatch(piece):
+            return self._direct(text)
+        tokens = self.findall(text if self.spaced else text.lower())
+        return b"".join([self.tokens[t.encode().decode("latin-1").translate(_LETTERS)] for t in tokens])
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order. Null counts as empty."""
-        waiting: list[str] = []
-        size = 0
+        get = self.pieces.__getitem__
         for text in texts:
-            waiting.append(text or "")
-            size += len(waiting[-1])
-            if size > BATCH_CHARS:
-                yield from self._encode(waiting)
-                waiting, size = [], 0
-        yield from self._encode(waiting)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._split(t) for t in texts]
-        firsts = [b""] * len(cut)
-        if self.spaced:
-            firsts = self._direct([c[0] for c in cut])
-            cut = [c[1:] for c in cut]
-        known = self.pieces
-        wanted = set().union(*cut)
-        missing = wanted.difference(known)
-        if missing:
-            new = self._ids(list(missing))
-            if len(known) + len(new) <= PIECES:
-                known.update(new)
-            else:  # frequent pieces came early; the rare rest is looked up for this batch only
-                new.update((p, known[p]) for p in wanted - missing)
-                known = new
-        get = known.__getitem__
-        return [first + b"".join(map(get, c)) for first, c in zip(firsts, cut)]
+            text = text or ""
+            if any(mark in text for mark in self.marks) and self.added.search(text):
+                yield self._direct(text)
+                continue
+            pieces = self._split(text)
+            if self.spaced:
+                first = pieces[0]
+                yield (self.firsts[first] if len(first) < 64 else self._direct(first)) + b"".join(map(get, pieces[1:]))
+            else:
+                yield b"".join(map(get, pieces))
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

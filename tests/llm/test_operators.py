@@ -146,7 +146,6 @@ def plain_ids(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 0], dtype="<u4") for e in t.encode_batch([t or "" for t in TEXTS], add_special_tokens=False)]
 
 
