@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.vector_index import SCORE_PLACES, build_vector_index, search
 
 # The frame of a prompt with retrieved context.
 CONTEXT_SEPARATOR = "\n\n---\n\n"
@@ -21,10 +18,7 @@ CONTEXT_PROMPT = (
     "Context:\n"
 )
 TOP_K = 5
-BROADCAST_QUERIES = 10_000
-QUERY_BLOCK = 4_096
-CHUNK_BLOCK = 50_000
-SCORE_PLACES = 9
+__all__ = ["SCORE_PLACES", "TOP_K", "assemble_context", "fit_text_vectors", "index_chunks", "prompts_with_context", "retrieve", "text_vectors"]
 
 
 def index_chunks(chunks: DataFrame, *, vector: str = "vector") -> DataFrame:
@@ -50,92 +44,13 @@ def text_vectors(model: PipelineModel, texts: DataFrame) -> DataFrame:
     return vectors.drop("_words", "_counts", "_weights", "_unit")
 
 
-def _unit_rows(vectors) -> np.ndarray:
-    matrix = np.array(list(vectors), dtype="float64")
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-
-
-def _best(queries: np.ndarray, ids: np.ndarray, frame: pd.DataFrame, k: int, best: dict) -> None:
-    """Fold one batch of chunks into the k best (score, chunk_id) per query."""
-    scores = np.round(queries @ _unit_rows(frame["vector"]).T, SCORE_PLACES)
-    chunk_ids = frame["chunk_id"].to_numpy()
-    for row, query_id in enumerate(ids):
-        line = scores[row]
-        if len(line) > k:
-            near = np.flatnonzero(line >= np.partition(line, -k)[-k])
-        else:
-            near = np.arange(len(line))
-        found = best.get(query_id, []) + [(-line[i], chunk_ids[i]) for i in near]
-        best[query_id] = sorted(found)[:k]
-
-
-def _rows(best: dict) -> pd.DataFrame:
-    flat = [(query_id, chunk_id, -score) for query_id, found in best.items() for score, chunk_id in found]
-    return pd.DataFrame(flat, columns=["query_id", "chunk_id", "score"])
-
-
-def retrieve(
-    index: DataFrame, queries: DataFrame, *, k: int = TOP_K, broadcast_queries: int = BROADCAST_QUERIES
-) -> DataFrame:
+def retrieve(index: DataFrame, queries: DataFrame, *, k: int = TOP_K, cells: int | None = None, probes: int | None = None) -> DataFrame:
     """The ``k`` chunks nearest by cosine for every query: query_id, chunk_id, score, rank.
 
-    ``index`` has chunk_id and vector, ``queries`` query_id and vector. Up to ``broadcast_queries``
-    queries go to the tasks, and the index is read in place; each task passes on k rows per query.
-    More queries are cut into blocks that meet blocks of the index in a co-grouped job.
+    ``index`` has chunk_id and vector, ``queries`` query_id and vector. The chunks are put into a vector index first; to search one
+    more than once, build it with ``vector_index.write_vector_index``. Exact unless ``probes`` names a number of cells.
     """
-    types = {f.name: f.dataType.simpleString() for f in index.schema.fields}
-    query_type = dict(queries.dtypes)["query_id"]
-    schema = f"query_id {query_type}, chunk_id {types['chunk_id']}, score double"
-    index = index.select("chunk_id", "vector")
-    queries = queries.select("query_id", "vector")
-
-    few = queries.limit(broadcast_queries + 1).collect()  # bounded by the limit
-    if len(few) <= broadcast_queries:
-        if not few:
-            return index.sparkSession.createDataFrame([], f"{schema}, rank int")
-        packed = index.sparkSession.sparkContext.broadcast(
-            (np.array([r["query_id"] for r in few], dtype=object), _unit_rows(r["vector"] for r in few))
-        )
-
-        def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = packed.value
-            best: dict = {}
-            for frame in frames:
-                if len(frame):
-                    _best(matrix, ids, frame, k, best)
-            yield _rows(best)
-
-        partial = index.mapInPandas(nearest, schema)
-    else:
-        partial = _retrieve_in_blocks(index, queries, k, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return partial.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def _retrieve_in_blocks(
-    index: DataFrame, queries: DataFrame, k: int, schema: str, query_block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK
-) -> DataFrame:
-    query_blocks = -(-queries.count() // query_block)
-    chunk_blocks = max(-(-index.count() // chunk_block), 1)
-
-    def blocks(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.withColumn("_q", F.expr(f"pmod(xxhash64(query_id), {query_blocks})").cast("int")).withColumn(
-        "_c", blocks(chunk_blocks)
-    )
-    right = index.withColumn("_c", F.expr(f"pmod(xxhash64(chunk_id), {chunk_blocks})").cast("int")).withColumn(
-        "_q", blocks(query_blocks)
-    )
-
-    def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        best: dict = {}
-        if len(asked) and len(held):
-            _best(_unit_rows(asked["vector"]), asked["query_id"].to_numpy(), held, k, best)
-        return _rows(best)
-
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(nearest, schema)
+    return search(build_vector_index(index, cells=cells), queries, k=k, probes=probes)
 
 
 def assemble_context(hits: DataFrame, chunks: DataFrame) -> DataFrame:

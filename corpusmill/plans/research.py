@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from corpusmill import sinks
-from corpusmill.operators import experiments, retrieve
+from corpusmill.operators import experiments, retrieve, term_index
 from corpusmill.plans.common import rounded, sql_list, table
 from corpusmill.session import scratch_path
 
@@ -72,34 +72,39 @@ def retrieve_topk(spark, sf_dir):
     return rounded(retrieve.retrieve(_vectors(spark, sf_dir), _centroids(spark, sf_dir)), "score")
 
 
+def _contents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+
+
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
+
+
 def index_chunks(spark, sf_dir):
-    """All documents written to an index table and read back; those without a vector have no norm."""
+    """All documents with vectors of their words, written to an index table and read back. A text without words has no norm."""
     path = scratch_path(spark, "chunk-index")
-    vectors = _vectors(spark, sf_dir).withColumnRenamed("chunk_id", "doc_id")
+    vectors = term_index.term_vectors(term_index.build_term_index(_contents(spark, sf_dir)))
     chunks = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("text").alias("content"), F.col("source").alias("source_ref"), F.lit(0).alias("chunk_index")
-    ).join(vectors, "doc_id", "left")
+    ).join(vectors.select(F.col("chunk_id").alias("doc_id"), "vector"), "doc_id", "left")
     sinks.write_index(retrieve.index_chunks(chunks), path)
     return rounded(sinks.read_index(spark, path).select("chunk_id", "doc_id", "norm"), "norm", places=5)
 
 
 def rag_prompts(spark, sf_dir):
-    contents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    known = _vectors(spark, sf_dir).join(contents.select("chunk_id"), "chunk_id", "left_semi")
-    hits = retrieve.retrieve(known, _centroids(spark, sf_dir))
-    user = F.struct(F.lit("user").alias("role"), F.concat(F.lit("What is label "), F.col("query_id").cast("string"), F.lit("?")).alias("content"))
-    prompts = _centroids(spark, sf_dir).select("query_id", F.array(user).alias("messages"))
+    """Every benchmark text as a question, with the documents nearest by their words as context."""
+    contents, asked = _contents(spark, sf_dir), _questions(spark, sf_dir)
+    hits = term_index.search_terms(term_index.build_term_index(contents), asked, k=retrieve.TOP_K)
+    user = F.struct(F.lit("user").alias("role"), F.col("content").alias("content"))
+    prompts = asked.select("query_id", F.array(user).alias("messages"))
     full = retrieve.prompts_with_context(prompts, retrieve.assemble_context(hits, contents))
     return full.select("query_id", F.to_json("messages").alias("messages"))
 
 
 def text_retrieval(spark, sf_dir):
-    """Documents nearest to each benchmark text, by word vectors."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
-    model = retrieve.fit_text_vectors(docs)
-    hits = retrieve.retrieve(retrieve.text_vectors(model, docs), retrieve.text_vectors(model, asked))
-    return rounded(hits, "score", places=5)
+    """Documents nearest to each benchmark text, by all their words."""
+    index = term_index.build_term_index(_contents(spark, sf_dir))
+    return rounded(term_index.search_terms(index, _questions(spark, sf_dir), k=retrieve.TOP_K), "score", places=5)
 
 
 _RUNS = """
@@ -120,7 +125,24 @@ centroids AS (
 hits AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (
     SELECT label AS query_id, vec_id AS chunk_id, round(list_cosine_similarity(v, q), {retrieve.SCORE_PLACES}) AS score
-    FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings {{where}}), centroids))"""
+    FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), centroids))"""
+_TERMS = f"""
+held AS (SELECT doc_id AS doc, unnest(string_split_regex(lower(text), '{term_index.WORD_BREAK}')) AS term FROM documents),
+counts AS (SELECT doc, term, count(*) AS n FROM held WHERE term <> '' GROUP BY doc, term),
+terms AS (
+  SELECT term, round({term_index.SCALE} * ln((SELECT count(*) + 1 FROM documents) / (count(*) + 1))) AS idf FROM counts GROUP BY term),
+weights AS (SELECT doc, term, n * idf AS w FROM counts JOIN terms USING (term) WHERE idf > 0),
+lengths AS (SELECT doc, sqrt(sum(w * w)) AS length FROM weights GROUP BY doc),
+asked AS (
+  SELECT item_id, term, count(*) * any_value(idf) AS w FROM (
+    SELECT item_id, unnest(string_split_regex(lower(text), '{term_index.WORD_BREAK}')) AS term FROM benchmark) JOIN terms USING (term)
+  WHERE idf > 0 GROUP BY item_id, term),
+asked_lengths AS (SELECT item_id, sqrt(sum(w * w)) AS length FROM asked GROUP BY item_id),
+scores AS (
+  SELECT a.item_id AS query_id, d.doc AS chunk_id, round(sum(a.w / x.length * (d.w / y.length)), {term_index.SCORE_PLACES}) AS score
+  FROM asked a JOIN asked_lengths x USING (item_id) JOIN weights d ON d.term = a.term JOIN lengths y ON y.doc = d.doc GROUP BY 1, 2),
+hits AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM scores) WHERE rank <= {retrieve.TOP_K})"""
 
 QUERIES = {
     "experiment_status": experiment_status,
@@ -151,16 +173,18 @@ SELECT 'exp-' || event_id AS experiment_id, NULL AS parent_id, CASE WHEN event_t
 SELECT event_type, sum(n)::BIGINT AS total_bytes, CASE WHEN sum(n) = 0 THEN 'inf'::DOUBLE ELSE round(sum(value) / ({math.log(2)!r} * sum(n)), 6) END AS bpb
 FROM (SELECT *, CASE WHEN event_type = 'signup' THEN 0 ELSE strlen(props) END AS n FROM events) GROUP BY event_type""",
     "retrieve_topk": f"""
-WITH {_CENTROIDS.format(where='')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits WHERE rank <= 5""",
-    "index_chunks": """
-SELECT sha256(source || chr(31) || '0' || chr(31) || text) AS chunk_id, doc_id,
-  round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm
-FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
+WITH {_CENTROIDS} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits WHERE rank <= 5""",
+    "index_chunks": f"""
+WITH {_TERMS} SELECT sha256(source || chr(31) || '0' || chr(31) || text) AS chunk_id, doc_id, round(length, 5) AS norm
+FROM documents LEFT JOIN lengths ON doc = doc_id""",
+    "text_retrieval": f"""
+WITH {_TERMS} SELECT query_id, chunk_id, round(score, 5) AS score, rank FROM hits""",
     "rag_prompts": f"""
-WITH {_CENTROIDS.format(where='WHERE vec_id IN (SELECT doc_id FROM documents)')},
+WITH {_TERMS},
 contexts AS (
   SELECT query_id, string_agg(text, {sql_list([retrieve.CONTEXT_SEPARATOR])} ORDER BY rank) AS context
-  FROM hits JOIN documents ON doc_id = chunk_id WHERE rank <= 5 GROUP BY query_id)
-SELECT query_id, to_json([{{'role': 'system', 'content': {sql_list([retrieve.CONTEXT_PROMPT])} || context}},
-  {{'role': 'user', 'content': 'What is label ' || query_id || '?'}}])::VARCHAR AS messages FROM contexts""",
+  FROM hits JOIN documents ON doc_id = chunk_id GROUP BY query_id)
+SELECT item_id AS query_id, to_json(CASE WHEN context IS NULL THEN [{{'role': 'user', 'content': text}}]
+  ELSE [{{'role': 'system', 'content': {sql_list([retrieve.CONTEXT_PROMPT])} || context}}, {{'role': 'user', 'content': text}}] END)::VARCHAR AS messages
+FROM benchmark LEFT JOIN contexts ON query_id = item_id""",
 }

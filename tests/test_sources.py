@@ -1,7 +1,10 @@
+import collections
 import csv
 import io
 import json
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill import pipeline, sinks
 from corpusmill.functions.store_types import normalized_store_type
-from corpusmill.operators import catalog, near_duplicates, retrieve
+from corpusmill.operators import catalog, near_duplicates, retrieve, term_index, vector_index
 from corpusmill.session import scratch_path, shared_dir
 from corpusmill.sources import fetch, files, landed
 from corpusmill.sources.fetch import FetchQuery
@@ -222,21 +225,79 @@ def nearest(index, queries, k):
     return {(q, int(c), r + 1) for q, line in enumerate(scores) for r, c in enumerate(np.lexsort((np.arange(len(line)), -line))[:k])}
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_retrieval(spark, few, monkeypatch):
+@pytest.mark.parametrize("cells, blocks", [(None, (10_000, 10_000)), (1, (30, 4)), (40, (7, 4)), (150, (10_000, 3))])
+def test_retrieval(spark, cells, blocks, monkeypatch):
+    """The exact search equals a comparison with every row, however the rows are put into cells and blocks."""
     rng = np.random.default_rng(1)
     index, queries = rng.normal(size=(200, 8)), rng.normal(size=(9, 8))
     index[150:] = index[3]  # many equal vectors
+    index[60:90] = index[60] + rng.normal(size=(30, 8)) * 0.01  # a narrow region
+    queries[4] = index[61]
     schema = "long, vector array<double>"
     chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(index)], f"chunk_id {schema}").repartition(5)
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], f"query_id {schema}")
-    if not few:
-        blocks = retrieve._retrieve_in_blocks
-        monkeypatch.setattr(retrieve, "_retrieve_in_blocks", lambda i, q, k, s: blocks(i, q, k, s, 4, 30))
-    hits = retrieve.retrieve(chunks, asked, k=4, broadcast_queries=100 if few else 2)
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", blocks[0])
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", blocks[1])
+    hits = retrieve.retrieve(chunks, asked, k=4, cells=cells)
     assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in hits.collect()} == nearest(index, queries, 4)
 
 
+def test_retrieval_edges(spark):
+    schema = "long, vector array<float>, extra int"
+    rows = [(5, [1.0, 0.0], 1), (6, [0.0, 0.0], 1), (7, None, 1), (8, [], 1), (9, [0.0, 2.0], 1), (10, [0.0, 0.0], 1), (11, [-1.0, 0.0], 1)]
+    asked = [(1, [3.0, 0.0], 1), (2, [0.0, 0.0], 1), (3, None, 1)]
+    chunks, queries = spark.createDataFrame(rows, f"chunk_id {schema}"), spark.createDataFrame(asked, f"query_id {schema}")
+    hits = retrieve.retrieve(chunks, queries, k=4).collect()
+    found = {q: [(r["chunk_id"], r["score"]) for r in sorted(hits, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1, 2, 3)}
+    assert found == {1: [(5, 1.0), (6, 0.0), (9, 0.0), (10, 0.0)], 2: [(5, 0.0), (6, 0.0), (9, 0.0), (10, 0.0)], 3: []}
+    assert retrieve.retrieve(chunks.where("chunk_id = 7"), queries).collect() == []
+    assert retrieve.retrieve(chunks, queries.limit(0)).collect() == []
+
+
+def test_bounded_retrieval(spark):
+    """Probing the nearest cells finds at least nine of ten of the true neighbours, and far cells are passed over by the exact search."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 16))
+    index = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16)) * 0.3
+    queries = centres[rng.integers(0, 30, 40)] + rng.normal(size=(40, 16)) * 0.3
+    schema = "long, vector array<double>"
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(index)], f"chunk_id {schema}")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], f"query_id {schema}")
+    built = vector_index.build_vector_index(chunks)
+    exact, some = (
+        {(r["query_id"], r["chunk_id"], r["rank"]) for r in vector_index.search(built, asked, k=5, probes=p).collect()} for p in (None, 4)
+    )
+    assert exact == nearest(index, queries, 5)
+    assert len({h[:2] for h in exact} & {h[:2] for h in some}) >= 0.9 * len(exact)
+    worst = spark.createDataFrame([(r[0], 0.8) for r in asked.select("query_id").collect()], "query_id long, worst double")
+    asked_cells = vector_index._asked(asked.join(worst, "query_id"), built, 5, 2, True).count()
+    assert asked_cells < 0.5 * 40 * len(built.centres)
+
+
+def test_term_index(spark, monkeypatch):
+    """All words count; the pruned search equals the full sums, also when lists are dealt to several keys."""
+    rng = random.Random(6)
+    names = [f"w{k}" for k in range(300)]
+    weights = [1 / (k + 1) for k in range(300)]
+    texts = [" ".join(rng.choices(names, weights, k=rng.randint(0, 40))) for _ in range(150)] + [None, "", "W0, w1! w0?"]
+    asked = [" ".join(rng.choices(names, weights, k=12)) for _ in range(20)] + ["unknown", "", None, "w0"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "chunk_id long, content string, term int").repartition(4)
+    queries = spark.createDataFrame([(i, t, 1) for i, t in enumerate(asked)], "query_id long, content string, term int")
+    counts = [collections.Counter(re.findall(r"\w+", (t or "").lower())) for t in texts]
+    df = collections.Counter(w for c in counts for w in c)
+    idf = {w: round(1000 * math.log((len(texts) + 1) / (n + 1))) for w, n in df.items()}
+    unit = lambda c: {w: n * idf.get(w, 0) / math.sqrt(sum((m * idf.get(v, 0)) ** 2 for v, m in c.items()) or 1) for w, n in c.items()}
+    docs_by, want = [unit(c) for c in counts], set()
+    for q, text in enumerate(asked):
+        mine = unit(collections.Counter(re.findall(r"\w+", (text or "").lower())))
+        scores = [(-round(sum(x * d.get(w, 0) for w, x in mine.items()), 9), i) for i, d in enumerate(docs_by)]
+        want |= {(q, i, r + 1) for r, (s, i) in enumerate(sorted(x for x in scores if x[0] < 0)[:5])}
+    for hot in (1 << 16, 20):
+        monkeypatch.setattr(term_index, "HOT_POSTINGS", hot)
+        hits = term_index.search_terms(term_index.build_term_index(docs), queries, k=5).collect()
+        assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in hits} == want
+
+
 def test_text_retrieval_and_prompts(spark):
     texts = ["Machine learning finds patterns in data.", "The weather is sunny today.", "Cooking pasta takes ten minutes."]
     chunks = spark.createDataFrame([(i, t, "s", 0) for i, t in enumerate(texts)], "doc_id long, content string, source_ref string, chunk_index int")
