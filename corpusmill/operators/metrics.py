@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.answers import is_json, token_f1
 from corpusmill.functions.numbers import round_half_even
-from corpusmill.functions.text import normalized, strip, word_overlap
+from corpusmill.functions.overlaps import ORDERS, shared_runs
+from corpusmill.functions.text import normalized, strip, tokens, word_overlap
 
 HALLUCINATION_BELOW = 0.5
 CLASSIFICATION_BELOW = 20
@@ -67,6 +68,33 @@ def qa_metrics(samples: DataFrame, *, by: Sequence[str] = MODEL, prediction: str
     )
 
 
+def generation_metrics(samples: DataFrame, *, by: Sequence[str] = MODEL, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
+    """BLEU of all samples together, and the means of ROUGE-1 and ROUGE-L.
+
+    BLEU: the geometric mean of the shares of predicted word runs (of one to four words) that the references hold, each run as often as there,
+    times the brevity penalty; 0 when an order has no match. ROUGE: F1 of shared words, and of the longest common subsequence; two texts
+    without words score 1, a missing side scores 0, and its words count in BLEU's denominators.
+    """
+    n_words = lambda name: F.coalesce(F.size(tokens(F.col(name))), F.lit(0))
+    scored = samples.withColumns({"_runs": shared_runs(prediction, reference), "_given": n_words(prediction), "_wanted": n_words(reference)})
+    both = F.col("_given") + F.col("_wanted")
+    missing = F.col(prediction).isNull() | F.col(reference).isNull()
+    f1 = lambda name: F.when(missing, 0.0).when(both == 0, 1.0).otherwise(F.try_divide(2 * F.col(f"_runs.{name}"), both))
+    orders = range(1, ORDERS + 1)
+    sums = scored.groupBy(*by).agg(
+        F.sum("_given").alias("_given"),
+        F.sum("_wanted").alias("_wanted"),
+        *[F.sum(f"_runs.shared_{n}").alias(f"_shared_{n}") for n in orders],
+        *[F.sum(F.greatest(F.col("_given") - (n - 1), F.lit(0))).alias(f"_runs_{n}") for n in orders],
+        F.avg(f1("shared_1")).alias("rouge_1"),
+        F.avg(f1("subsequence")).alias("rouge_l"),
+    )
+    logs = sum((F.log(F.col(f"_shared_{n}") / F.nullif(f"_runs_{n}", F.lit(0))) for n in orders), F.lit(0.0)) / ORDERS
+    brevity = F.least(F.lit(0.0), 1 - F.col("_wanted") / F.nullif("_given", F.lit(0)))
+    matched = F.least(*[F.col(f"_shared_{n}") for n in orders]) > 0
+    return sums.select(*by, F.when(matched, F.exp(logs + brevity)).otherwise(0.0).alias("bleu"), "rouge_1", "rouge_l")
+
+
 def classification_metrics(samples: DataFrame, *, by: Sequence[str] = MODEL, prediction: str = "prediction") -> DataFrame:
     """Accuracy over all samples and macro scores over the reference labels. F1 is taken from the two macro scores."""
     given, wanted = normalized(F.col(prediction)), normalized(F.col("reference"))

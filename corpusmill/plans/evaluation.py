@@ -76,6 +76,18 @@ def qa_metrics(spark, sf_dir):
     return rounded(metrics.qa_metrics(samples(spark, sf_dir)), "exact_match", "f1")
 
 
+def bleu(spark, sf_dir):
+    return rounded(metrics.generation_metrics(samples(spark, sf_dir)).select("model_id", "bleu"), "bleu")
+
+
+def rouge_1(spark, sf_dir):
+    return rounded(metrics.generation_metrics(samples(spark, sf_dir)).select("model_id", "rouge_1"), "rouge_1")
+
+
+def rouge_l(spark, sf_dir):
+    return rounded(metrics.generation_metrics(samples(spark, sf_dir)).select("model_id", "rouge_l"), "rouge_l")
+
+
 def token_f1(spark, sf_dir):
     scored = samples(spark, sf_dir).select("model_id", "sample_id", metrics.token_f1("prediction", "reference").alias("f1"))
     return rounded(scored, "f1")
@@ -362,12 +374,38 @@ SELECT w.*, q.em AS exact_match, c.f1 AS f1, c.accuracy, c.precision, c.recall,
 FROM wins w JOIN qa q USING (model_id) JOIN tuned c USING (model_id) JOIN base b USING (model_id)""".format(
     g=" + ".join(_gain(f"c.{n}", f"b.{n}") for n in ("accuracy", "precision", "recall", "f1"))
 )
+_WORDS = f"""
+words AS (
+  SELECT model_id, sample_id, prediction IS NULL OR reference IS NULL AS missing,
+    coalesce({sql_tokens('prediction')}, []) AS p, coalesce({sql_tokens('reference')}, []) AS r FROM samples)"""
+
+
+def _runs(side: str) -> str:
+    run = f"array_to_string(list_slice({side}, i, i + n - 1), ' ')"
+    return f"SELECT model_id, sample_id, n, unnest(list_transform(range(1, len({side}) - n + 2), lambda i: {run})) AS run FROM words, range(1, 5) o(n)"
+
+
+_RUN_SUMS = f"""
+given AS (SELECT model_id, sample_id, n, run, count(*) AS c FROM ({_runs('p')}) GROUP BY ALL),
+wanted AS (SELECT model_id, sample_id, n, run, count(*) AS c FROM ({_runs('r')}) GROUP BY ALL),
+shared AS (SELECT model_id, sample_id, n, sum(least(g.c, w.c)) AS c FROM given g JOIN wanted w USING (model_id, sample_id, n, run) GROUP BY ALL)"""
+# A row of the table of common subsequences follows from the one before it: the running maximum of staying, or growing at an equal word.
+_GROWN = "list_transform(range(1, len(p) + 1), lambda j: greatest(line[j + 1], line[j] + (p[j] = r[i])::INT))"
+_SUBSEQUENCES = f"""
+steps AS (
+  SELECT model_id, sample_id, p, r, 0 AS i, list_transform(range(0, len(p) + 1), lambda j: 0) AS line FROM words UNION ALL
+  SELECT model_id, sample_id, p, r, i, list_concat([0], list_transform(range(1, len(p) + 1), lambda j: list_max(list_slice(grown, 1, j)))) FROM (
+    SELECT model_id, sample_id, p, r, i, {_GROWN} AS grown FROM (SELECT model_id, sample_id, p, r, i + 1 AS i, line FROM steps WHERE i < len(r)))),
+longest AS (SELECT model_id, sample_id, line[-1] AS n FROM steps WHERE i = len(r))"""
 
 QUERIES = {
     "sample_correctness": sample_correctness,
     "exact_match": exact_match,
     "qa_metrics": qa_metrics,
     "token_f1": token_f1,
+    "bleu": bleu,
+    "rouge_1": rouge_1,
+    "rouge_l": rouge_l,
     "classification_metrics": classification_metrics,
     "task_types": task_types,
     "comparison_rows": comparison_rows,
@@ -395,6 +433,18 @@ ORACLE = {
 SELECT model_id, round(avg({_same('prediction')}::INT), 6) AS exact_match, count(*) AS total_samples,
   count(*) FILTER ({_same('prediction')}) AS correct FROM samples GROUP BY model_id""",
     "qa_metrics": f"{_SAMPLES}, {_QA} SELECT model_id, round(em, 6) AS exact_match, round(f1, 6) AS f1 FROM qa",
+    "bleu": f"""{_SAMPLES}, {_WORDS}, {_RUN_SUMS},
+orders AS (SELECT model_id, n, sum(c) AS s FROM shared GROUP BY ALL),
+runs AS (SELECT model_id, n, sum(greatest(len(p) - n + 1, 0)) AS t FROM words, range(1, 5) o(n) GROUP BY ALL),
+logs AS (SELECT model_id, CASE WHEN count(s) = 4 THEN sum(ln(s / t)) / 4 END AS l FROM runs LEFT JOIN orders USING (model_id, n) GROUP BY model_id),
+lengths AS (SELECT model_id, sum(len(p)) AS c, sum(len(r)) AS w FROM words GROUP BY model_id)
+SELECT model_id, coalesce(round(exp(l + least(0, 1 - w / c)), 6), 0) AS bleu FROM logs JOIN lengths USING (model_id)""",
+    "rouge_1": f"""{_SAMPLES}, {_WORDS}, {_RUN_SUMS}
+SELECT model_id, round(avg(CASE WHEN missing THEN 0 WHEN len(p) + len(r) = 0 THEN 1 ELSE 2.0 * coalesce(c, 0) / (len(p) + len(r)) END::DOUBLE), 6) AS rouge_1
+FROM words LEFT JOIN (SELECT * FROM shared WHERE n = 1) USING (model_id, sample_id) GROUP BY model_id""",
+    "rouge_l": f"""{_SAMPLES.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_WORDS}, {_SUBSEQUENCES}
+SELECT model_id, round(avg(CASE WHEN missing THEN 0 WHEN len(p) + len(r) = 0 THEN 1 ELSE 2.0 * n / (len(p) + len(r)) END::DOUBLE), 6) AS rouge_l
+FROM words JOIN longest USING (model_id, sample_id) GROUP BY model_id""",
     "token_f1": f"{_SAMPLES}, {_f1('f1s', 'prediction')} SELECT model_id, sample_id, round(f1, 6) AS f1 FROM f1s",
     "classification_metrics": f"""{_LABELLED}, {_classes('m', 'prediction')}
 SELECT model_id, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM m""",

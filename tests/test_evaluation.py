@@ -258,3 +258,38 @@ def test_index_writes_can_be_repeated(spark, tmp_path):
         sinks.write_index(rows, path, run=run)
     sinks.write_index(first, path, collection="other")
     assert sorted(map(tuple, sinks.read_index(spark, path).select("chunk_id", "norm").collect())) == [("a", 1.0), ("b", 5.0), ("c", 3.0)]
+
+
+def test_generation_metrics(spark):
+    from corpusmill.functions.overlaps import clipped, common_subsequence
+
+    rng = random.Random(4)
+
+    def plain_subsequence(a, b):
+        line = [0] * (len(b) + 1)
+        for x in a:
+            line = [0] + [max(m, 0) for m in _row(x, b, line)]
+        return line[-1]
+
+    def _row(x, b, line):
+        out = []
+        for j, y in enumerate(b):
+            out.append(max(line[j + 1], line[j] + (x == y), out[-1] if out else 0))
+        return out
+
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 90))] for _ in range(2))
+        assert common_subsequence(a, b) == plain_subsequence(a, b)
+        for n in (1, 2, 3):
+            runs = [[tuple(x[i : i + n]) for i in range(len(x) - n + 1)] for x in (a, b)]
+            assert clipped(a, b, n) == sum(min(runs[0].count(g), runs[1].count(g)) for g in set(runs[0]))
+    rows = [
+        ("m", "the cat sat on the mat today", "the cat sat on the red mat"), ("m", None, "two words"), ("m", "Five words are written here", None), ("m", "", " "),
+        ("short", "the cat sat on", "the cat sat on the mat"), ("none", "x y z", "the cat"), ("empty", None, None),
+    ]
+    found = {r["model_id"]: tuple(r)[1:] for r in metrics.generation_metrics(spark.createDataFrame(rows, "model_id string, prediction string, reference string")).collect()}
+    shared, runs, given, wanted = (6, 4, 3, 2), (12, 10, 8, 6), 12, 9
+    bleu = math.exp(sum(math.log(s / t) for s, t in zip(shared, runs)) / 4 + min(0, 1 - wanted / given))
+    assert found["m"] == pytest.approx((bleu, (2 * 6 / 14 + 1) / 4, (2 * 6 / 14 + 1) / 4))
+    assert found["short"] == pytest.approx((math.exp(1 - 6 / 4), 8 / 10, 8 / 10))
+    assert found["none"] == (0.0, 0.0, 0.0) and found["empty"] == (0.0, 0.0, 0.0)
