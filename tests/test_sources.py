@@ -213,6 +213,40 @@ def test_near_duplicates_against_brute_force(spark):
         assert sorted(r["doc_id"] for r in found.collect()) == kept
 
 
+def test_lookalikes_settle_in_few_rounds(spark, monkeypatch):
+    """200 documents of similarity 0.94 that share all but their own words, and a chain of similar ones among them."""
+    cuts = []
+    cut = near_duplicates.cut_lineage
+    monkeypatch.setattr(near_duplicates, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[: 20 * 17] + [f"own{k}x{j}" for j in range(8)] + base[:8]) for k in range(200)]
+    chain = [f"c{i}" for i in range(600)]
+    texts += [" ".join([*chain[:400], f"end{k}", *[f"s{j}" for j in range(k, k + 12)]]) for k in range(40)]
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    kept = []
+    for i, s in enumerate(sets):
+        if not any(len(s & sets[k]) / len(s | sets[k]) >= 0.95 for k in kept):
+            kept.append(i)
+    assert 200 < len(kept) < 225
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string").repartition(4)
+    found = near_duplicates.first_of_near_duplicates(rows, threshold=0.95)
+    assert sorted(r["doc_id"] for r in found.collect()) == kept
+    assert len(cuts) < 40
+
+
+def test_settling_of_dependencies(spark):
+    rng = random.Random(12)
+    graphs = [[(k, k + 1) for k in range(200)], [(0, k) for k in range(1, 50)], []]
+    graphs += [[tuple(sorted(rng.sample(range(40), 2))) for _ in range(n)] for n in (20, 60, 120)]
+    for edges in graphs:
+        gone = set()
+        for v in range(201):
+            if any(u not in gone for u, w in edges if w == v):
+                gone.add(v)
+        found = near_duplicates._dropped(spark.createDataFrame(edges, "early long, late long"))
+        assert sorted(r["id"] for r in found.collect()) == sorted(gone)
+
+
 def test_size_classes_hold_similar_sets():
     for threshold in (0.5, 0.8, 0.95):
         bounds = near_duplicates.size_classes(threshold)
