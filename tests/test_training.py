@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill import pipeline
 from corpusmill.operators import augment, catalog, detect, formats, mapping
 from corpusmill.operators.catalog import Collection, catalog_fields
+from corpusmill.operators import position
 from corpusmill.operators.position import with_minimum_before, with_position
 
 
@@ -28,6 +30,26 @@ def test_positions_do_not_depend_on_segments(spark):
         assert {r["n"] for r in placed.collect()} == {28, 29}
 
 
+@pytest.mark.parametrize("fan", [1 << 17, 4])
+def test_positions_of_hashed_ids(spark, monkeypatch, fan):
+    """Ids all over the range of 64 bits, ties and nulls; no window sees more than a block of segments."""
+    monkeypatch.setattr(position, "FAN", fan)
+    rng = random.Random(fan)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(300)] + [-(2**63), 2**63 - 1, 0, 0, -1, None, None]
+    rows = spark.createDataFrame([(v, i, rng.choice(["a", None])) for i, v in enumerate(ids)], "k long, t long, g string").repartition(5)
+    table = [tuple(r) for r in rows.collect()]
+    for within in ([], ["g"]):
+        placed = with_position(rows, order_by="k", ties=["t"], within=within, total="n").collect()
+        assert len(placed) == len(table)
+        for r in placed:
+            group = sorted((x for x in table if not within or x[2] == r["g"]), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+            assert (r["position"], r["n"]) == ([x[1] for x in group].index(r["t"]), len(group))
+    seen = with_minimum_before(rows.where("k IS NOT NULL AND t < 300"), {"low": F.col("t")}, order_by="k")
+    order = sorted(x for x in table if x[0] is not None and x[1] < 300)
+    lows = {x[0]: min((y[1] for y in order[:i]), default=None) for i, x in enumerate(order)}
+    assert {r["k"]: r["low"] for r in seen.collect()} == lows
+
+
 def test_minimum_before_across_segments(spark):
     values = [5, 3, 8, 3, 2, 9, None, 1, 4]
     rows = spark.createDataFrame(list(enumerate(values)), "idx long, v int").repartition(3)
