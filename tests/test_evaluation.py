@@ -293,3 +293,18 @@ def test_generation_metrics(spark):
     assert found["m"] == pytest.approx((bleu, (2 * 6 / 14 + 1) / 4, (2 * 6 / 14 + 1) / 4))
     assert found["short"] == pytest.approx((math.exp(1 - 6 / 4), 8 / 10, 8 / 10))
     assert found["none"] == (0.0, 0.0, 0.0) and found["empty"] == (0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("sparse", [consistency.SPARSE, 0.0, 1e9])
+def test_self_consistency_of_many_answers(spark, sparse):
+    """Prompts of very many different answers, most of them without a common word, and one where all share words."""
+    rng = random.Random(3)
+    rows = [("m", "thin", " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randint(0, 6)))) for _ in range(700)]
+    rows += [("m", "thick", "the answer is " + str(rng.randrange(90))) for _ in range(150)]
+    rows += [("m", "apart", f"own{k}") for k in range(80)] + [("m", "few", "a b"), ("m", "few", "b c"), ("m", "one", "x")]
+    frame = spark.createDataFrame(rows, "model_id string, prompt_id string, response string").repartition(3)
+    found = {r["prompt_id"]: r["consistency"] for r in consistency.self_consistency(frame, sparse=sparse).collect()}
+    for prompt in ("thin", "thick", "apart", "few", "one"):
+        answers = [t for _, p, t in rows if p == prompt]
+        scores = [jaccard(a, b) for i, a in enumerate(answers) for b in answers[i + 1 :]]
+        assert found[prompt] == pytest.approx(sum(scores) / len(scores) if scores else 1.0, abs=1e-12)
