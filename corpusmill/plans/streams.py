@@ -67,16 +67,17 @@ def stream_dedup(spark, sf_dir):
 
 
 def stream_quality(spark, sf_dir):
-    """Quality per hour of arrival and language. Updates are numbered by batch; the last one counts."""
+    """Quality per hour of arrival and language, merged from what each batch adds."""
     path = scratch_path(spark, "stream")
-    scores = streams.quality_by_window(_documents(spark, sf_dir), time="ts", late="10 minutes", width="1 hour", by=["lang"])
-    streams.process_batches(scores, streams.numbered_writer(f"{path}/rows"), f"{path}/state", mode="update")
-    columns = ["total_chunks", "noise_ratio", "coverage"]
-    last = spark.read.parquet(f"{path}/rows").groupBy("window_start", "lang").agg(
-        F.max_by(F.struct(*columns), "batch_id").alias("_row")
-    )
-    named = last.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "lang", "_row.*")
-    return rounded(named, "noise_ratio", "coverage")
+
+    def handle(batch, batch_id):
+        for part, rows in zip(("sums", "digests"), streams.quality_parts(batch, time="ts", width="1 hour", by=["lang"])):
+            streams.numbered_writer(f"{path}/{part}")(rows, batch_id)
+
+    streams.process_batches(_documents(spark, sf_dir), handle, f"{path}/state")
+    scores = streams.merged_quality(*(spark.read.parquet(f"{path}/{part}") for part in ("sums", "digests")), by=["lang"])
+    named = scores.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm")).drop("estimated_chunks")
+    return rounded(named, "duplicate_ratio", "noise_ratio", "coverage", "overall")
 
 
 def stream_batches(spark, sf_dir):
@@ -125,7 +126,8 @@ ORACLE = {
 SELECT props AS content, 'kafka://' || event_type AS source_ref, event_id::VARCHAR AS "offset" FROM events""",
     "stream_dedup": "SELECT DISTINCT md5(text) AS digest, length(text)::INT AS chars FROM documents",
     "stream_quality": f"""
-SELECT split_part(k, '|', 1) AS window_start, split_part(k, '|', 2) AS lang, total_chunks, noise_ratio, coverage
+SELECT split_part(k, '|', 1) AS window_start, split_part(k, '|', 2) AS lang,
+  total_chunks, unique_chunks, duplicate_ratio, noise_ratio, coverage, overall
 FROM ({sql_quality(_BY_HOUR, "k")})""",
     "stream_batches": """
 SELECT event_type, count(*) AS events, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type""",

@@ -18,6 +18,7 @@ from corpusmill.operators.clean import CleanOptions, rejected_by, with_cleaned
 from corpusmill.operators.entities import extract_entities
 from corpusmill.operators.quality import noise
 
+SKETCH_BITS = 14
 DEDUP_SALTS = 16
 
 
@@ -100,6 +101,46 @@ def quality_by_window(
     )
 
 
+def quality_parts(batch: DataFrame, *, time: str, width: str, by: Sequence[str] = (), content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """What one batch adds to the quality of its windows, in a form that later batches are merged with.
+
+    Sums and a sketch of the texts (HyperLogLog) per window, and the different texts of each window as digests. The first table is small whatever
+    the texts; the second gives the exact count.
+    """
+    text = F.col(content)
+    slim = batch.select(
+        F.window(F.col(time).cast("timestamp"), width)["start"].alias("window_start"), *by, F.md5(text).alias("digest"), noise(text).cast("long").alias("noisy"), F.length(text).alias("chars")
+    )
+    sums = slim.groupBy("window_start", *by).agg(
+        F.count(F.lit(1)).alias("total_chunks"), F.sum("noisy").alias("noisy"), F.sum("chars").alias("chars"), F.hll_sketch_agg("digest", F.lit(SKETCH_BITS)).alias("sketch")
+    )
+    return sums, slim.select("window_start", *by, "digest").distinct()
+
+
+def merged_quality(sums: DataFrame, digests: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """Quality per window from the parts of all batches, late ones included. ``estimated_chunks`` comes from the sketches alone, with a
+    standard error of 0.8 percent (1.04 over the root of 2 ** SKETCH_BITS, rounded up)."""
+    keys = ["window_start", *by]
+    total = sums.groupBy(*keys).agg(
+        F.sum("total_chunks").alias("total_chunks"), F.sum("noisy").alias("noisy"), F.sum("chars").alias("chars"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimated_chunks")
+    )
+    unique = digests.distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_chunks"))
+    unique = unique.select(*[F.col(c).alias(f"_{c}") for c in keys], "unique_chunks")
+    match = F.lit(True)
+    for key in keys:
+        match = match & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    rows = total.join(unique, match)
+    rows = rows.withColumns(
+        {
+            "duplicate_ratio": 1.0 - F.col("unique_chunks") / F.col("total_chunks"),
+            "noise_ratio": F.col("noisy") / F.col("total_chunks"),
+            "coverage": F.least(F.coalesce(F.col("chars"), F.lit(0)) / F.col("total_chunks") / 500.0, F.lit(1.0)),
+        }
+    )
+    overall = (1.0 - F.col("duplicate_ratio")) * 0.4 + (1.0 - F.col("noise_ratio")) * 0.3 + F.col("coverage") * 0.3
+    return rows.select(*keys, "total_chunks", "unique_chunks", "estimated_chunks", "duplicate_ratio", "noise_ratio", "coverage", overall.alias("overall"))
+
+
 def write_stream(stream: DataFrame, path: str, checkpoint: str, *, drain: bool = True) -> StreamingQuery:
     """Append the stream to parquet files. ``drain`` handles what is there and stops; otherwise the
     query runs until its ``stop()``."""

@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions.numbers import fixed, round_half_even
+from corpusmill import sinks
 from corpusmill.operators import consistency, experiments, latency, metrics, verdicts
+from corpusmill.session import scratch_path
+from corpusmill.streaming import streams
 
 
 def samples(spark, predictions, references, baselines=None, model="m"):
@@ -308,3 +311,38 @@ def test_self_consistency_of_many_answers(spark, sparse):
         answers = [t for _, p, t in rows if p == prompt]
         scores = [jaccard(a, b) for i, a in enumerate(answers) for b in answers[i + 1 :]]
         assert found[prompt] == pytest.approx(sum(scores) / len(scores) if scores else 1.0, abs=1e-12)
+
+
+def test_index_snapshots(spark):
+    path = scratch_path(spark, "index-test")
+    frame = lambda rows: spark.createDataFrame(rows, "chunk_id string, norm double").repartition(2)
+    shown = lambda **at: sorted(map(tuple, sinks.read_index(spark, path, **at).select("chunk_id", "norm").collect()))
+    sinks.write_index(frame([("a", 1.0), ("b", 2.0)]), path)
+    sinks.write_index(frame([("c", 3.0)]), path)
+    assert shown() == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
+    sinks.write_index(frame([("b", 5.0), ("d", 4.0)]), path, run="10")
+    sinks.delete_from_index(frame([("a", 0.0), ("zz", 0.0)]), path, run="9")
+    assert shown() == [("b", 5.0), ("c", 3.0), ("d", 4.0)]
+    sinks.write_index(frame([("b", 5.0), ("d", 4.0)]), path, run="10")  # a retry changes nothing
+    sinks.delete_from_index(frame([("a", 0.0), ("zz", 0.0)]), path, run="9")
+    assert shown() == [("b", 5.0), ("c", 3.0), ("d", 4.0)]
+    sinks.write_index(frame([("a", 7.0)]), path, run="1")
+    assert shown() == [("a", 7.0), ("b", 5.0), ("c", 3.0), ("d", 4.0)]
+    assert shown(snapshot=2) == [("a", 1.0), ("b", 2.0), ("c", 3.0)] and shown(snapshot=3) == [("a", 1.0), ("b", 5.0), ("c", 3.0), ("d", 4.0)]
+    assert [r["snapshot"] for r in sinks.index_snapshots(spark, path).collect()] == [1, 2, 3, 4, 5]
+
+
+def test_quality_parts_merge(spark):
+    """Parts of any batches give the quality of all rows; the sketch stays within four standard errors."""
+    rows = [(f"2024-01-01 0{i % 2}:{i % 60:02d}:00", "en" if i % 5 else None, f"A text with some words in it, number {i % 7000}.") for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "ts string, lang string, content string")
+    parts = [streams.quality_parts(frame.where(F.pmod(F.xxhash64("content", "ts"), F.lit(3)) == k), time="ts", width="1 hour", by=["lang"]) for k in range(3)]
+    sums, digests = (parts[0][j].unionByName(parts[1][j]).unionByName(parts[2][j]) for j in (0, 1))
+    found = {(str(r["window_start"])[11:13], r["lang"]): r for r in streams.merged_quality(sums, digests, by=["lang"]).collect()}
+    assert len(found) == 4
+    for (hour, lang), r in found.items():
+        held = [t for ts, g, t in rows if ts[11:13] == hour and g == lang]
+        assert (r["total_chunks"], r["unique_chunks"]) == (len(held), len(set(held)))
+        assert abs(r["estimated_chunks"] / len(set(held)) - 1) < 4 * 0.0082
+        assert r["duplicate_ratio"] == pytest.approx(1 - len(set(held)) / len(held)) and r["noise_ratio"] == 0.0
+        assert r["coverage"] == pytest.approx(sum(map(len, held)) / len(held) / 500)
