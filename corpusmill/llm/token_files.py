@@ -29,7 +29,7 @@ SAMPLE = 256
 SHARD_BYTES = 48 << 20
 
 MANIFEST = "shard int, file string, n_docs long, n_ids long"
-READ = "shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class EliasFano:
@@ -183,15 +183,13 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, name in zip(batch.column("shard").to_pylist(), batch.column("file").to_pylist()):
-                found = [(d, s, len(x), zlib.crc32(x.tobytes())) for d, s, x in Shard(folder, name).documents()]
-                columns = [pa.array([shard] * len(found), pa.int32()), *(pa.array(v, pa.int64()) for v in zip(*found))]
-                yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "local_start", "n_tokens", "ids_crc32"])
+            for base, name in zip(batch.column("base").to_pylist(), batch.column("file").to_pylist()):
+                found = [(d, base + s, len(x), zlib.crc32(x.tobytes())) for d, s, x in Shard(folder, name).documents()]
+                columns = [pa.array(v, pa.int64()) for v in zip(*found)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     before = F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")  # one row per shard
-    bases = manifest.select("shard", before.alias("base"))
-    found = manifest.repartition("shard").mapInArrow(read, READ)
-    return found.join(bases, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return manifest.withColumn("base", before).repartition("shard").mapInArrow(read, READ)
 
 
 def token_files(docs: DataFrame, path: str, *, vocabulary: int) -> DataFrame:
