@@ -64,6 +64,7 @@ class Encoder:
         self.marks = {c for t in added for c in (t[:1].lower(), t[:1].upper())}  # what an added token begins with
         self.findall = (_BYTE_LEVEL if spaced else _WORD_LEVEL).findall
         self.tokens = _Pieces(self._model, PRE_TOKENS)
+        self.plain = _Pieces(lambda token: self.tokens[token.encode().decode("latin-1").translate(_LETTERS)], PRE_TOKENS // 4)
         self.pieces = _Pieces(self._piece, PIECES)
         self.firsts = _Pieces(self._direct, PIECES // 8)
 
@@ -93,8 +94,7 @@ class Encoder:
         text = " " + piece if self.spaced else piece
         if not _LATIN.fullmatch(piece):
             return self._direct(text)
-        tokens = self.findall(text if self.spaced else text.lower())
-        return b"".join([self.tokens[t.encode().decode("latin-1").translate(_LETTERS)] for t in tokens])
+        return b"".join(map(self.plain.__getitem__, self.findall(text if self.spaced else text.lower())))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order. Null counts as empty."""
