@@ -15,7 +15,7 @@ def _problems(rows: DataFrame, mapping: Mapping[str, str]) -> list[Column]:
     available = "[" + ", ".join(f"'{c}'" for c in rows.columns) + "]"
     found = []
     for source in mapping:
-        if source not in rows.columns:
+        if source not in rows.columns:  # fixed values: the wording of both findings
             hint = f"Column '{source}' not found in record. Available: {available}"
             found.append(F.struct(F.lit(source).alias("field"), F.lit("missing_column").alias("error_type"), F.lit(hint).alias("suggestion")))
             continue
