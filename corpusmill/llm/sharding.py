@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Rows with equal texts form a group that stays together unless it exceeds a small share of a shard; then it is dealt into
-``PARTS`` parts by hash of doc_id. Groups of less than a thousandth of a shard are bundled by hash of their text, so the
+``PARTS`` parts by hash of doc_id and the row's place in the input. Groups of less than a thousandth of a shard are bundled by hash of their text, so the
 packer sees at most ``BUNDLES`` bundles and ``40 * 1024`` times a few large groups, whatever the size of the table. Items
 go, largest first, to the shard where the dot product of the item and the shard's residual capacity is highest.
 """
@@ -45,7 +45,8 @@ def shard(docs: DataFrame, shards: int = 40, *, doc_id: str = "doc_id", text: st
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is ``bytes``) of every row.
 
     Only doc_id and text are read, so other columns may have any name. Null texts have size 16 and the checksum of no
-    bytes. Rows without doc_id are placed like others; repeated rows are placed each. Ties go by hash, then by bundle. An empty
+    bytes. Rows without doc_id are placed like others; repeated rows are placed each, and both are dealt out by their place in
+    the input where their text is hot. Very long texts are items of their own. Ties go by hash, then by bundle. An empty
     table gives no rows. A few numbers per row are kept in the shared folder; texts are read once and never shuffled.
     """
     value = F.coalesce(F.col(text), F.lit(""))
@@ -55,9 +56,9 @@ def shard(docs: DataFrame, shards: int = 40, *, doc_id: str = "doc_id", text: st
         F.crc32(value.cast("binary")).alias("text_crc32"),
         F.size(words(F.col(text))).cast("long").alias("tokens"),
         F.xxhash64(value).alias("_key"),
-        F.pmod(F.xxhash64(F.col(doc_id), F.lit("part")), F.lit(PARTS)).cast("int").alias("_part"),
+        F.monotonically_increasing_id().alias("_at"),
     )
-    rows = cut_lineage(rows)
+    rows = cut_lineage(rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "_at"), F.lit(PARTS)).cast("int")))
     sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")]
     total = rows.agg(*sums).first()
     if not total["n"]:
@@ -89,5 +90,5 @@ def shard(docs: DataFrame, shards: int = 40, *, doc_id: str = "doc_id", text: st
         .join(F.broadcast(heavy_part), ["_key", "text_crc32", "_part"], "left")
         .withColumn("shard", F.coalesce("_heavy", "_whole", "_light"))
     )
-    ranked = with_rank(placed.select("doc_id", "size", "text_crc32", "shard"), "shard", ["doc_id", "text_crc32"], "slot", int(total["n"]))
+    ranked = with_rank(placed.select("doc_id", "size", "text_crc32", "shard", "_at"), "shard", ["doc_id", "text_crc32", "_at"], "slot", int(total["n"]))
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
