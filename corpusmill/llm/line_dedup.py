@@ -29,7 +29,8 @@ VARIABLE = "<*>"
 
 
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
-FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+#: A whole token with a digit; it is tried at starts of tokens only, so a token is read once however long it is.
+FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def _masked(line: Column) -> Column:
