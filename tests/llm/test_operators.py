@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 
@@ -328,6 +329,20 @@ def test_sharding(spark, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_of_a_hot_text_without_ids(spark):
+    """Rows without doc_id and rows that repeat one are dealt out like others; a very long text is placed whole."""
+    rows = [(None, "one hot text that many rows have")] * 4_000 + [(7, "another row that repeats")] * 3_000 + [(k, prose(k, 20)) for k in range(500)]
+    frame = spark.createDataFrame([*rows, (900, "w " * 4_000)], "doc_id long, text string").repartition(4)
+    out = sharding.shard(frame, 8).collect()
+    assert len(out) == len(rows) + 1
+    held = collections.defaultdict(list)
+    for r in out:
+        held[r["shard"]].append(r)
+    sizes = [sum(r["size"] for r in rs) for rs in held.values()]
+    assert len(held) == 8 and max(sizes) < 1.05 * min(sizes)
+    assert all(sorted(r["slot"] for r in rs) == list(range(len(rs))) for rs in held.values())
+
+
 # 6 -----------------------------------------------------------------------------------------------
 
 
@@ -420,6 +435,16 @@ def test_line_dedup_among_copies(spark):
     assert {i: r["text"] for i, r in got.items()} == {i: t.removesuffix("\n" + notice) for i, t in enumerate(texts)}
 
 
+def test_line_masking_of_long_tokens(spark):
+    """Masking reads a token once: two megabytes without a space, with a digit elsewhere, take no noticeable time."""
+    long = "x" * 2_000_000
+    lines = [long + " 7", "a1 b 2c d3e 4", "no digit", "1", long + "9" + long]
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    started = time.monotonic()
+    got = [r[0] for r in frame.select(line_dedup._masked(F.col("line"))).collect()]
+    assert got == [long + " <*>", "<*> b <*> <*> <*>", "no digit", "<*>", "<*>"] and time.monotonic() - started < 30
+
+
 # 8 -----------------------------------------------------------------------------------------------
 
 
@@ -436,6 +461,36 @@ def test_html_blocks():
     assert [html_extract.main_text(x, tree) for x in (None, "", "<", "<p", "<article>", "<article><p>a</article")] == ["", "", "", "", "", "a"]
 
 
+def splits(tree):
+    return {html_extract.FEATURES[tree[0]]} | splits(tree[2]) | splits(tree[3]) if len(tree) == 4 else set()
+
+
+def test_html_tree_looks_at_links_and_neighbours():
+    tree = html_extract.train()
+    used = splits(tree)
+    assert used & {"link_density"} and used & {"words_before", "words_after", "links_before", "links_after"}
+    long_, link = "a paragraph of the story that has more than a dozen words to read", "<a>another story of ours that has quite as many words as a paragraph</a>"
+    page = f"<div><a>home</a></div><div>{link}</div><p>{long_}</p><p>yes.</p><p>{long_}</p><div>{link}</div>"
+    assert html_extract.main_text(page, tree) == f"{long_}\nyes.\n{long_}"
+
+
+def test_html_wrappers_and_attributes():
+    tree, text = html_extract.train(), "a paragraph of the story that has more than a dozen words to read"
+    page = f"<p>{text}</p><p>{text} again</p>"
+    want = f"{text}\n{text} again"
+    for before, after in (
+        ('<div class="layout has-sidebar">', "</div>"),
+        ('<div class="content with-sidebar"><article>', "</article></div>"),
+        ('<div class="post has-comments">', "</div>"),
+        ('<div id="search-page">', "</div>"),
+        ("<div class='sidebar layout'><h1>main</h1>", "</div><div class=site-footer>all the terms</div>"),
+    ):
+        assert html_extract.main_text(before + page + after, tree).removeprefix("main\n") == want
+    assert html_extract.main_text(f"<p title=it's>{text}</p><p data-class=ad title='a > b'>{text} isn't</p>", tree) == f"{text}\n{text} isn't"
+    comments = f"<article><p>{text}</p></article><div class='comment-list'>{page}{page}</div>"
+    assert html_extract.main_text(comments, tree) == text
+
+
 def test_html_pages(spark, none):
     pages = spark.createDataFrame([(1, "u", None, 3), (None, None, "<article><p>x y</p></article>", 3), (2, "u", "<article><p>" + "w " * 50_000, 3)], "page_id long, url string, html string, text int")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()}
