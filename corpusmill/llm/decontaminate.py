@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +45,55 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For every code point whether it is a letter or number; built once in a process."""
+    table = np.ones(0x110000, dtype=bool)
+    codes = np.r_[0:0xD800, 0xE000:0x110000].astype("<u4")
+    for found in _OTHER.finditer(codes.tobytes().decode("utf-32-le")):
+        table[codes[found.start() : found.end()]] = False
+    table[0xD800:0xE000] = False
+    return table
+
+
+def normal_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the normal forms of texts, one line break between two, and where each begins."""
+    lowered = [t.lower() for t in texts]
+    codes = _codes("\n".join(lowered))
+    breaks = np.cumsum([len(t) + 1 for t in lowered[:-1]], dtype=np.int64) - 1
+    letters = _letters()[codes]
+    # Of a run of other characters the one behind a letter stays, as a space, and line breaks between texts do.
+    kept = letters.copy()
+    kept[1:] |= letters[:-1]
+    kept[breaks] = True
+    codes = np.where(letters, codes, np.uint32(32))
+    codes[breaks] = 10
+    at = np.cumsum(kept, dtype=np.int64)[breaks] - 1  # where the breaks stand now
+    codes = codes[kept]
+    # Spaces at the end of a text go.
+    last = np.r_[at, len(codes)] - 1
+    last = last[last >= 0]
+    trailing = last[codes[last] == 32]
+    return np.delete(codes, trailing), np.r_[0, at + 1 - np.searchsorted(trailing, at)].astype(np.int64)
+
+
 def _grams(codes: np.ndarray) -> np.ndarray:
-    """A hash of the ``Q`` characters at every place that has as many left."""
+    """A hash of the ``Q`` characters at every place that has as many left: a polynomial, put together from those of halves."""
     n = len(codes) - Q + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(Q):
-        out *= _BASE
-        out += codes[k : k + n]
+    power = lambda k: np.uint64(pow(int(_BASE), k, 1 << 64))
+    part, width = codes.astype(np.uint64), 1
+    out, done = None, 0  # the hash of the first ``done`` characters
+    while True:
+        if Q & width:
+            ahead = part[done : done + n]
+            out = ahead.copy() if out is None else out * power(width) + ahead
+            done += width
+        if done == Q:
+            break
+        part = part[:-width] * power(width) + part[width:]
+        width *= 2
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
@@ -194,9 +235,10 @@ def _search_block(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages(block)
         for ids, texts in _chunks(batches):
-            cleaned = [normal(t) for t in texts]
-            codes = _codes("\n".join(cleaned))
-            starts = np.cumsum([0, *(len(t) + 1 for t in cleaned[:-1])])
+            if not texts:
+                continue
+            codes, starts = normal_codes(texts)
+            cleaned = codes.tobytes().decode("utf-32-le").split("\n") if passages.short else []
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for text, item, start, end, edits in passages.search(codes, starts):
                 key, value = (text, item), (edits, start, end)

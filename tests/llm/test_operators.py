@@ -559,3 +559,21 @@ def test_licenses(docs, none):
         assert set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) or not r["base_labels"]
     assert got[16]["labels"] == "apache-2.0" and got[17]["base_labels"] == "cc-by,gpl,reserved"
     assert licenses.scan(none).count() == 0
+
+
+def test_normal_codes_of_many_texts():
+    """Normal forms of a chunk at once equal those one by one, and so do hashes put together from halves."""
+    rng = random.Random(11)
+    for _ in range(300):
+        texts = ["".join(rng.choice("aB .,\n\tÄßΣİ९漢-_\U0001f600") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 6))]
+        codes, starts = decontaminate.normal_codes(texts)
+        want = [decontaminate.normal(t) for t in texts]
+        assert codes.tobytes().decode("utf-32-le") == "\n".join(want)
+        assert starts.tolist() == [sum(len(t) + 1 for t in want[:k]) for k in range(len(want))]
+    codes = np.frombuffer(prose(3, 400).encode("utf-32-le"), dtype="<u4")
+    grams = decontaminate._grams(codes)
+    assert len(grams) == len(codes) - decontaminate.Q + 1
+    by_text = collections.defaultdict(set)
+    for k, g in enumerate(grams.tolist()):
+        by_text[codes[k : k + decontaminate.Q].tobytes()].add(g)
+    assert all(len(g) == 1 for g in by_text.values()) and len(set.union(*by_text.values())) == len(by_text)
