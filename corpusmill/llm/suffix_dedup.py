@@ -84,14 +84,14 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64) % buckets
 
 
-def cells(texts: list[bytes], docs: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The cells of texts; those of hot anchors window by window."""
+def cells(texts: list[bytes], docs: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
+    """The cells of texts; those of hot anchors window by window. Without ``hot``, only the anchors of the cells."""
     codes = np.frombuffer(b"".join(texts), dtype=np.uint8)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     stops = np.cumsum(sizes)
     if len(codes) < LENGTH or sizes.max(initial=0) < LENGTH:
-        return np.zeros(0, dtype=CELL)
-    one, two = Hashes(codes, 0), Hashes(codes, 1)
+        return np.zeros(0, dtype=np.uint64 if hot is None else CELL)
+    one = Hashes(codes, 0)
     at = np.arange(len(codes) - GRAM + 1)
     grams = one.spans(at, at + GRAM)
     bits = np.uint64(int(len(codes)).bit_length())
@@ -107,11 +107,14 @@ def cells(texts: list[bytes], docs: np.ndarray, hot: np.ndarray) -> np.ndarray:
     valid = np.arange(len(anchors)) + LENGTH <= stops[text]
     places = np.flatnonzero(valid)
     if not len(places):
-        return np.zeros(0, dtype=CELL)
+        return np.zeros(0, dtype=np.uint64 if hot is None else CELL)
     own = anchors[places]
     new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (places[1:] != places[:-1] + 1)])
     starts, counts, anchor = places[new], np.diff(np.r_[new, len(places)]), own[new]
     keys = grams[anchor]
+    if hot is None:
+        return keys
+    two = Hashes(codes, 1)
     if len(hot):
         where = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
         is_hot = hot[where] == keys
@@ -186,7 +189,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
         yield np.array(ids, dtype=np.int64), texts
 
 
-def _cell_batches(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[np.ndarray]:
+def _cell_batches(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None) -> Iterator[np.ndarray]:
     held, n = [], 0
     for ids, texts in _texts(batches):
         held.append(cells(texts, ids, hot))
@@ -238,8 +241,8 @@ def hot_anchors(rows: DataFrame, total_bytes: int) -> np.ndarray:
     bound = max(HOT_CELLS, every // HOT_SHARES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _cell_batches(batches, np.zeros(0, dtype=np.uint64)):
-            keys, n = np.unique(found["anchor"], return_counts=True)
+        for found in _cell_batches(batches, None):
+            keys, n = np.unique(found, return_counts=True)
             much = n >= max(2, len(found) * bound / every / 2)
             yield pa.RecordBatch.from_arrays([pa.array(keys[much].view(np.int64)), pa.array(n[much])], names=["anchor", "n"])
 
@@ -373,22 +376,49 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def finish(docs: pa.Table, packed: pa.Table) -> pa.Table:
         found = _runs(packed)
-        found = found[found["flag"] == COVERED]
-        found = found[np.argsort(found["doc"], kind="stable")]
-        keys = found["doc"]
-        rows = []
-        for doc, value in zip(docs.column("doc_id").to_pylist(), docs.column("text")):
-            text = (value.as_py() or "").encode()
-            own = found[np.searchsorted(keys, doc) : np.searchsorted(keys, doc, side="right")]
-            change = np.zeros(len(text) + 1, dtype=np.int64)
-            np.add.at(change, own["start"].astype(np.int64), 1)
-            np.add.at(change, own["start"].astype(np.int64) + own["n"] + (LENGTH - 1), -1)
-            gone = np.cumsum(change[:-1]) > 0
-            edges = np.flatnonzero(np.diff(np.r_[False, gone, False].view(np.int8)))
-            kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
-            rows.append((doc, len(text), len(text) - len(kept), len(edges) // 2, hashlib.sha256(kept).hexdigest(), edges.tolist()))
-        types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64())]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=names)
+        covered = np.flatnonzero(found["flag"] == COVERED)
+        covered = covered[np.argsort(found["doc"][covered], kind="stable")]
+        keys, starts = found["doc"][covered], found["start"][covered].astype(np.int64)
+        stops = starts + found["n"][covered] + (LENGTH - 1)
+        ids = docs.column("doc_id").to_numpy()
+        first = np.searchsorted(keys, ids)
+        counts = np.searchsorted(keys, ids, side="right") - first
+        texts = [t or b"" for t in docs.column("text").cast(pa.binary()).to_pylist()]
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        removed: list[list[int]] = [[] for _ in texts]
+        touched = np.flatnonzero(counts)
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes[touched]) // CHUNK_BYTES)) + 1
+        for part in np.split(touched, cut) if len(touched) else []:
+            # one stretch for the texts of a part, each with a byte behind it that no run covers
+            bases = np.cumsum(sizes[part] + 1) - sizes[part] - 1
+            length = int(bases[-1] + sizes[part[-1]]) + 2
+            n = counts[part]
+            own = np.repeat(first[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            base = np.repeat(bases, n)
+            depth = np.cumsum(np.bincount(base + starts[own], minlength=length) - np.bincount(base + stops[own], minlength=length))
+            edges = np.flatnonzero(np.diff(np.r_[False, depth > 0].view(np.int8)))
+            whose = np.searchsorted(edges, np.r_[bases, length])
+            inside = edges - np.repeat(bases, np.diff(whose))
+            for k, a, b in zip(part.tolist(), whose[:-1].tolist(), whose[1:].tolist()):
+                removed[k] = inside[a:b].tolist()
+        digests, gone = [], []
+        for text, edges_ in zip(texts, removed):
+            digest, at, left = hashlib.sha256(), 0, 0
+            for start, stop in zip(edges_[::2], edges_[1::2]):
+                digest.update(text[at:start])
+                left += stop - start
+                at = stop
+            digest.update(text[at:])
+            digests.append(digest.hexdigest())
+            gone.append(left)
+        columns = [
+            pa.array(ids, pa.int64()),
+            pa.array(sizes),
+            pa.array(gone, pa.int64()),
+            pa.array([len(e) // 2 for e in removed], pa.int64()),
+            pa.array(digests, pa.string()),
+            pa.array(removed, pa.list_(pa.int64())),
+        ]
+        return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
     return dealt.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInArrow(finish, DONE)
