@@ -32,9 +32,9 @@ LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text per bucket of documents and per bucket of cells, and bytes and cells handled at once inside a task.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
-BATCH_CELLS = 400_000
+BATCH_CELLS = 200_000
 #: An anchor is hot if it has this many cells, and more than one of ``HOT_SHARES`` parts of all cells.
 HOT_CELLS = 4096
 HOT_SHARES = 1 << 17
@@ -267,9 +267,11 @@ def repeated_windows(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFram
         if not held:
             return
         found = np.concatenate(held)
+        held.clear()
         known, found = found[found["flag"] == COVERED], found[found["flag"] == 0]
         later, order = repeated(found)
         s = found[order]
+        del found, order
         fresh = s[~later]
         different = np.r_[False, (fresh["anchor"][1:] == fresh["anchor"][:-1]) & (fresh["cell"][1:] != fresh["cell"][:-1])]
         groups = np.cumsum(np.r_[True, fresh["anchor"][1:] != fresh["anchor"][:-1]]) - 1 if len(fresh) else np.zeros(0, dtype=np.int64)
