@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.tokens import END, encoder
@@ -87,11 +87,19 @@ class EliasFano:
         return cls(n, bits, at[:low], at[low : low + high], at[low + high : low + high + 4 * samples].view("<u4"))
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with the scheme that Spark gives it: one without a scheme is in the session's default file system, not on a task's own machine."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def file_system(uri: str):
-    """The pyarrow file system of a folder and the folder's path in it."""
+    """The pyarrow file system of a qualified folder (``file:/x`` as ``file:///x``) or a local path, and the folder's path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    if "://" not in uri:
+        uri = f"file://{uri.removeprefix('file:')}"
+    return fs.FileSystem.from_uri(uri)
 
 
 def write_shard(uri: str, name: str, doc_ids: list[int], ids: list[bytes], width: int) -> None:
@@ -195,6 +203,6 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 def token_files(docs: DataFrame, path: str, *, vocabulary: int) -> DataFrame:
     """Write token-id files below the shared folder and return their documents as read back."""
     spark = docs.sparkSession
-    folder = scratch_path(spark, "token-files")
+    folder = qualified(spark, scratch_path(spark, "token-files"))
     manifest = write_token_files(docs, path, folder, vocabulary=vocabulary).checkpoint()  # one row per shard; the files are there now
     return read_token_files(manifest, folder)

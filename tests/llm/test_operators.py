@@ -205,6 +205,13 @@ def test_token_files(docs, none, monkeypatch):
     assert token_files.token_files(none, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50_257).count() == 0
 
 
+def test_folder_has_the_scheme_that_spark_gives(spark, tmp_path):
+    assert token_files.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert token_files.qualified(spark, f"file://{tmp_path}").startswith("file:/")
+    for uri in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert token_files.file_system(uri)[1] == str(tmp_path)
+
+
 def test_shard_select(tmp_path):
     rng = random.Random(4)
     ids = [np.array(rng.choices(range(60_000), k=rng.choice([0, 1, 5, 700])), dtype="<u4").tobytes() for _ in range(900)]
