@@ -1,13 +1,16 @@
 """MinHash near-dedup with an LSH forest.
 
-Every distinct shingle set has a signature, read in ``TREES`` different orders; sets that agree in the first ``DEPTH`` values of an order
-are neighbours there. Two sets of similarity 0.85 miss each other in all orders with a chance below 1e-8, of similarity 0.8 below 1e-5. Neighbours are
-joined into families by an edge to the smallest id of their region, so the edges are linear in the documents whatever the regions' sizes.
-
-A family's sets are brought together once and every pair is counted exactly by an index of their shingles. A family too large
-for one task is compared region by region in the same orders, so its pairs are found with the same chance. First every set is counted
-against one set of each of its regions, a few times; then only regions that still hold different components go on. A region too
-large for one task is cut into blocks, and each pair of blocks that may hold a new link is a task of its own. Links then give components.
+Every distinct shingle set has a signature of ``TREES * STRIDE`` minima. Order t reads it from value ``t * STRIDE`` on, round its end, and all sets
+are sorted in each order, so that sets with a long common prefix stand next to each other. Neighbours that agree in the first ``DEPTH``
+values of an order are candidates. Two sets of similarity 0.85 miss each other in all orders with a chance below 1e-8, of similarity
+0.8 below 1e-5. A run of candidates gives an edge from each set to its first, so edges are linear in the sets whatever the runs' lengths; they make
+families. The order is dealt out by ranges, so a run may span tasks.
+
+A family's sets are brought together once and every pair is counted exactly by an index of their shingles. In a family too large for one
+task each set is first counted against the neighbour with which it has the longest common prefix, then a few times against one set of each of
+its regions, a region being the sets that agree in ``DEPTH`` values. A crowded region, which does not fit into a task, is then read deeper, up to ``DEEPEST``
+values, each part as deep as it takes to fit. Last, crowded regions that still hold different components are cut into blocks, and each pair of blocks
+that may hold a new link is a task of its own: deeper reading saves work and loses no link. Links then give components.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.components import components
-from corpusmill.llm.shingles import mix, shingle_sets
-from corpusmill.session import cut_lineage
+from corpusmill.llm.shingles import shingle_sets
+from corpusmill.session import cut_lineage, stored
 
 TREES = 32
+STRIDE = 5
+#: Values of an order in which candidates agree, and the most that crowded regions are read to.
 DEPTH = 5
+DEEPEST = 12
 #: The most sets and shingles of sets that one task compares with each other.
 FAMILY_SETS = 3_000
 FAMILY_SHINGLES = 4_000_000
@@ -33,11 +39,12 @@ FAMILY_SHINGLES = 4_000_000
 STARS = 3
 CHUNK_BYTES = 1 << 20
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, trees array<long>"
+SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
 MEMBER = "key long, hub boolean, doc_id long, shingles binary"
 LINK = "a long, b long"
+NEIGHBOUR = "a long, first long, other long, common int, border binary"
 
-_SEEDS = np.random.default_rng(7).integers(0, 1 << 32, (2, 288), dtype=np.uint32)
+_SEEDS = np.random.default_rng(7).integers(0, 1 << 32, (2, TREES * STRIDE), dtype=np.uint32)
 
 
 def signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
@@ -55,15 +62,10 @@ def signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
     return out.T
 
 
-def prefixes(rows: np.ndarray, trees: int, stride: int, depth: int) -> np.ndarray:
-    """For each signature and order, a hash of the first ``depth`` values of that order; order t starts at value ``t * stride``."""
-    out = np.zeros((len(rows), trees), dtype=np.uint64)
-    for t in range(trees):
-        key = np.full(len(rows), t + 1, dtype=np.uint64)
-        for k in range(depth):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, t * stride + k])
-        out[:, t] = key
-    return out.view(np.int64)
+def common_prefixes(trees: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each row but the first, how many leading values it has in common with the row before it; none with another tree's."""
+    same = (codes[1:] == codes[:-1]) & (trees[1:] == trees[:-1])[:, None]
+    return np.logical_and.accumulate(same, axis=1).sum(axis=1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list[bytes]]]:
@@ -87,20 +89,21 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
         for rows, texts in _chunks(batches):
             sets = shingle_sets(texts, width)
             full = [k for k, s in enumerate(sets) if len(s)]
-            trees: list = [None] * len(sets)
+            signed: list = [None] * len(sets)
             if full:
-                found = prefixes(signatures([sets[k] for k in full], TREES * DEPTH), TREES, DEPTH, DEPTH).tolist()
-                for k, t in zip(full, found):
-                    trees[k] = t
+                found = signatures([sets[k] for k in full], TREES * STRIDE)
+                found = np.hstack([found, found[:, :DEEPEST]]).astype(">u4")
+                for k, values in zip(full, found):
+                    signed[k] = values.tobytes()
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype="<i8").reshape(-1, 2)
             columns = [
                 pa.array([r["doc_id"] for r in rows], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digests[:, 0]),
                 pa.array(digests[:, 1]),
-                pa.array(trees, pa.list_(pa.int64())),
+                pa.array(signed, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "trees"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -141,11 +144,57 @@ def link(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array([find(k) for k in range(n)])
 
 
-def _families(reps: DataFrame) -> DataFrame:
+def _orders(reps: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, tree and code, the first ``DEEPEST`` values of that order, whose bytes sort as the values do."""
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    code = F.substring("signature", 4 * STRIDE * F.col("tree") + 1, F.lit(4 * DEEPEST))
+    return reps.select("doc_id", "n_shingles", "signature", trees).select("doc_id", "n_shingles", "tree", code.alias("code"))
+
+
+def _neighbours(reps: DataFrame) -> DataFrame:
+    """Neighbours in the sorted orders that agree in ``DEPTH`` values or more: a, the first of its run, the set before it, and their common prefix.
+
+    Rows with a border name the runs at a range's ends, by the values that all of a run share.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(*columns: list) -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["a", "first", "other", "common", "border"])
+
+        def border(tree: int, code: np.ndarray, first: int) -> pa.RecordBatch:
+            return rows([first], [first], [None], [None], [int(tree).to_bytes(4, "big") + code[:DEPTH].tobytes()])
+
+        last = None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            trees, ids = batch.column("tree").to_numpy(), batch.column("doc_id").to_numpy()
+            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=">u4").reshape(n, DEEPEST)
+            if last is None:
+                yield border(trees[0], codes[0], ids[0])
+                last = trees[:1] - 1, codes[:1], ids[:1], ids[0]
+            common = common_prefixes(np.r_[last[0], trees], np.vstack([last[1], codes]))
+            joined = common >= DEPTH
+            start = np.maximum.accumulate(np.where(joined, -1, np.arange(n)))
+            first = np.where(start < 0, last[3], ids[start])
+            before = np.r_[last[2], ids[:-1]]
+            yield rows(ids[joined], first[joined], before[joined], common[joined], [None] * int(joined.sum()))
+            last = trees[-1:], codes[-1:], ids[-1:], first[-1]
+        if last is not None:
+            yield border(last[0][0], last[1][0], last[3])
+
+    ordered = _orders(reps).select("tree", "code", "doc_id").repartitionByRange("tree", "code", "doc_id").sortWithinPartitions("tree", "code", "doc_id")
+    return stored(ordered.mapInArrow(scan, NEIGHBOUR), "near-neighbours")
+
+
+def _families(reps: DataFrame, neighbours: DataFrame) -> DataFrame:
     """doc_id, family, and the family's sets and shingles, of representatives that have neighbours."""
-    leaves = reps.select("doc_id", F.posexplode("trees").alias("tree", "prefix"))
-    regions = leaves.groupBy("tree", "prefix").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    edges = leaves.join(regions, ["tree", "prefix"]).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    borders = neighbours.where("border IS NOT NULL").select("border", "first")
+    lowest = borders.groupBy("border").agg(F.min("first").alias("b"))
+    spanning = borders.join(lowest, "border").select(F.col("first").alias("a"), "b")
+    edges = neighbours.where("border IS NULL").select("a", F.col("first").alias("b")).unionByName(spanning)
     found = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("family"))
     members = found.join(reps.select("doc_id", "n_shingles"), "doc_id")
     sizes = members.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total"))
@@ -219,22 +268,50 @@ def _stars(leaves: DataFrame, turn: int) -> DataFrame:
     return members.unionByName(own).select(F.xxhash64("hub_id", "part").alias("key"), "hub", "doc_id")
 
 
+def _longest(neighbours: DataFrame, large: DataFrame) -> DataFrame:
+    """Places that bring each set to the neighbour with which it has the longest common prefix. A set has two neighbours in an order."""
+    pairs = neighbours.where("border IS NULL AND a <> other").select("a", "other", "common").join(large.withColumnRenamed("doc_id", "a"), "a", "left_semi")
+    both = pairs.unionByName(pairs.select(F.col("other").alias("a"), F.col("a").alias("other"), "common"))
+    best = both.groupBy("a").agg(F.max(F.struct("common", "other")).alias("best")).select(F.col("best.other").alias("key"), F.col("a").alias("doc_id"))
+    hubs = best.select("key").distinct().select("key", F.lit(True).alias("hub"), F.col("key").alias("doc_id"))
+    return best.select("key", F.lit(False).alias("hub"), "doc_id").unionByName(hubs)
+
+
+def _regions(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, region and crowded for regions of ``DEPTH`` values, and the same for the parts of crowded ones at the least depth at which they fit into a task."""
+
+    def region(depth: Column) -> Column:
+        return F.xxhash64("tree", F.substring("code", F.lit(1), F.lit(4) * depth))
+
+    shallow = orders.withColumn("region", region(F.lit(DEPTH)))
+    sizes = shallow.groupBy("region").agg(F.count("*").alias("n"), (_parts(F.count("*"), F.sum("n_shingles")) > 1).alias("crowded")).where("n > 1").drop("n")
+    every = cut_lineage(shallow.join(sizes, "region"))
+    depths = F.explode(F.sequence(F.lit(DEPTH + 1), F.lit(DEEPEST))).alias("depth")
+    deeper = every.where("crowded").select("doc_id", "n_shingles", "tree", "code", depths).withColumn("region", region(F.col("depth")))
+    fitting = deeper.groupBy("region").agg(F.count("*").alias("n"), _parts(F.count("*"), F.sum("n_shingles")).alias("parts")).where("parts = 1").drop("parts")
+    least = deeper.join(fitting, "region").groupBy("doc_id", "tree").agg(F.min(F.struct("depth", "region", "n", "n_shingles")).alias("least"))
+    parts = least.where("least.n > 1").select("doc_id", "least.n_shingles", "least.region", F.lit(False).alias("crowded"))
+    return every.select("doc_id", "n_shingles", "region", "crowded"), cut_lineage(parts)
+
+
+def _whole(leaves: DataFrame) -> DataFrame:
+    """Places for the regions, each small enough for a task, that hold different components."""
+    mixed = leaves.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
+    return leaves.join(mixed, "region", "left_semi").select(F.col("region").alias("key"), F.lit(False).alias("hub"), "doc_id")
+
+
 def _blocks(leaves: DataFrame) -> DataFrame:
-    """Places for every pair of sets of one region that are in different components.
+    """Places for every pair of sets of one crowded region that are in different components.
 
-    A region that fits into a task is one place. In others, components that fill blocks have blocks of their own, which do not
-    meet each other, and the rest is dealt out to common blocks.
+    Components that fill blocks have blocks of their own, which do not meet each other, and the rest is dealt out to common blocks.
     """
     of = leaves.groupBy("region", "component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total"))
     of = of.withColumn("own", _parts(F.col("sets"), F.col("total"), 2)).withColumn("filled", F.col("own") > 1)
     rest = lambda c: F.coalesce(F.sum(F.when(~F.col("filled"), F.col(c))), F.lit(0))
     regions = of.groupBy("region").agg(
-        F.count("*").alias("components"), _parts(F.sum("sets"), F.sum("total")).alias("tasks"), rest("sets").alias("sets"), rest("total").alias("total")
+        F.count("*").alias("components"), rest("sets").alias("sets"), rest("total").alias("total")
     )
-    regions = regions.where("components > 1").select("region", "tasks", F.when(F.col("sets") > 0, _parts(F.col("sets"), F.col("total"), 2)).otherwise(0).alias("common"))
-    small = leaves.join(regions.where("tasks = 1"), "region").select(F.col("region").alias("key"), F.lit(False).alias("hub"), "doc_id")
-
-    large = regions.where("tasks > 1").select("region", "common")
+    large = regions.where("components > 1").select("region", F.when(F.col("sets") > 0, _parts(F.col("sets"), F.col("total"), 2)).otherwise(0).alias("common"))
     filled = of.where("filled").select("region", "component", "own")
     owns = filled.join(large.select("region"), "region").select("region", F.col("component").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("part"))
     commons = large.where("common > 0").select("region", F.lit(None).cast("long").alias("owner"), F.explode(F.sequence(F.lit(0), F.col("common") - 1)).alias("part"))
@@ -246,28 +323,28 @@ def _blocks(leaves: DataFrame) -> DataFrame:
     owner = F.when(F.col("own").isNotNull(), F.col("component"))
     members = members.select("region", "doc_id", F.xxhash64(F.coalesce(owner, F.lit(0)), owner.isNull(), part).alias("block"))
     key = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
-    return small.unionByName(members.join(meeting, ["region", "block"]).select(key.alias("key"), F.lit(False).alias("hub"), "doc_id"))
+    return members.join(meeting, ["region", "block"]).select(key.alias("key"), F.lit(False).alias("hub"), "doc_id")
 
 
-def _links(docs: DataFrame, reps: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges that connect linked representatives: within their family, or for large families within their regions."""
+def _links(docs: DataFrame, reps: DataFrame, neighbours: DataFrame, families: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges that connect linked representatives: within their family, or for large families by neighbours and regions."""
     families = families.withColumn("large", (F.col("sets") > FAMILY_SETS) | (F.col("total") > FAMILY_SHINGLES))
     whole = families.where("NOT large").select(F.col("family").alias("key"), F.lit(False).alias("hub"), "doc_id")
     links = _compared(docs, whole, width, percent)
     large = families.where("large").select("doc_id")
     if large.isEmpty():
         return links
-    every = reps.join(large, "doc_id", "left_semi").select("doc_id", "n_shingles", F.explode("trees").alias("region"))
-    shared = every.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
-    every = cut_lineage(every.join(shared, "region", "left_semi"))
-    leaves, found = every.withColumn("component", F.col("doc_id")), None
-    for turn in range(STARS):
-        new = _compared(docs, _stars(leaves, turn), width, percent)
-        found = cut_lineage(new if found is None else found.unionByName(new))
+    every, parts = _regions(_orders(reps.join(large, "doc_id", "left_semi")))
+    found = cut_lineage(_compared(docs, _longest(neighbours, large), width, percent))
+
+    def told(leaves: DataFrame) -> DataFrame:
         roots = components(found).select(F.col("node").alias("doc_id"), "root")
-        leaves = every.join(roots, "doc_id", "left").select("doc_id", "n_shingles", "region", F.coalesce("root", "doc_id").alias("component"))
-        leaves = cut_lineage(leaves)
-    return links.unionByName(found).unionByName(_compared(docs, _blocks(leaves), width, percent))
+        return cut_lineage(leaves.join(roots, "doc_id", "left").select("doc_id", "n_shingles", "region", F.coalesce("root", "doc_id").alias("component")))
+
+    for turn in range(STARS):
+        found = cut_lineage(found.unionByName(_compared(docs, _stars(told(every), turn), width, percent)))
+    found = cut_lineage(found.unionByName(_compared(docs, _whole(told(every.where("NOT crowded").unionByName(parts))), width, percent)))
+    return links.unionByName(found).unionByName(_compared(docs, _blocks(told(every.where("crowded"))), width, percent))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -282,9 +359,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    reps = reps.select("doc_id", "n_shingles", "trees")
-    families = cut_lineage(_families(reps))
-    found = components(_links(rows, reps, families, width, percent)).select(F.col("node").alias("rep"), F.col("root").alias("component"))
+    reps = reps.select("doc_id", "n_shingles", "signature")
+    neighbours = _neighbours(reps)
+    families = cut_lineage(_families(reps, neighbours))
+    found = components(_links(rows, reps, neighbours, families, width, percent)).select(F.col("node").alias("rep"), F.col("root").alias("component"))
     of_class = classes.join(found, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     member = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -308,6 +308,50 @@ def test_near_dedup_region_beyond_a_task(spark, monkeypatch):
     assert large.value == 0
 
 
+def plain_prefix(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+
+
+def test_forest_orders_and_depths(spark, monkeypatch):
+    """Runs of sorted orders equal the sets that agree in DEPTH values; neighbours are next in order; crowded regions are read as deep as it takes."""
+    monkeypatch.setattr(near_dedup, "FAMILY_SETS", 4)
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 2, (60, near_dedup.TREES * near_dedup.STRIDE))
+    rows[30:] = rows[:30]
+    rows[np.arange(30, 60), rng.integers(0, rows.shape[1], 30)] ^= 1
+    wide = np.hstack([rows, rows[:, : near_dedup.DEEPEST]])
+    reps = spark.createDataFrame([(i, 10, bytearray(r.astype(">u4").tobytes())) for i, r in enumerate(wide)], "doc_id long, n_shingles long, signature binary")
+    reps = reps.repartition(3)
+    codes = {(i, t): tuple(wide[i, t * near_dedup.STRIDE :][: near_dedup.DEEPEST]) for i in range(60) for t in range(near_dedup.TREES)}
+    shared = {}
+    for (i, t), code in codes.items():
+        shared.setdefault((t, code[: near_dedup.DEPTH]), []).append(i)
+
+    found = near_dedup._neighbours(reps).collect()
+    inside = [r for r in found if r["border"] is None]
+    borders = sum(r["border"] is not None for r in found)
+    assert sum(len(v) - 1 for v in shared.values()) - borders <= len(inside) <= sum(len(v) - 1 for v in shared.values())
+    assert all(any(plain_prefix(codes[r["a"], t], codes[r["other"], t]) == r["common"] for t in range(near_dedup.TREES)) for r in inside)
+    root = {r["node"]: r["root"] for r in near_dedup.components(spark.createDataFrame([(v[0], x) for v in shared.values() for x in v[1:]], "a long, b long")).collect()}
+    assert {r["doc_id"]: r["family"] for r in near_dedup._families(reps, near_dedup._neighbours(reps)).collect()} == root
+
+    every, parts = near_dedup._regions(near_dedup._orders(reps))
+    assert every.count() == sum(len(v) for v in shared.values() if len(v) > 1)
+    want = set()
+    for crowd in (v for v in shared.items() if len(v[1]) > 4):
+        (tree, _), members = crowd
+        for i in members:
+            for depth in range(near_dedup.DEPTH + 1, near_dedup.DEEPEST + 1):
+                same = tuple(sorted(j for j in members if codes[j, tree][:depth] == codes[i, tree][:depth]))
+                if len(same) <= 4:
+                    want |= {same} if len(same) > 1 else set()
+                    break
+    got = {}
+    for r in parts.collect():
+        got.setdefault(r["region"], []).append(r["doc_id"])
+    assert {tuple(sorted(v)) for v in got.values()} == want and want
+
+
 def test_near_dedup_none_and_repeats(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
     twice = docs.where("doc_id = 6").unionByName(docs.where("doc_id in (6, 7)"))
