@@ -32,6 +32,8 @@ STRIDE = 5
 #: Values of an order in which candidates agree, and the most that crowded regions are read to.
 DEPTH = 5
 DEEPEST = 12
+#: A value is kept as its low 16 bits, high byte first: equal minima stay equal, others agree by chance once in 65,536.
+VALUE = np.dtype(">u2")
 #: The most sets and shingles of sets that one task compares with each other.
 FAMILY_SETS = 3_000
 FAMILY_SHINGLES = 4_000_000
@@ -92,7 +94,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
             signed: list = [None] * len(sets)
             if full:
                 found = signatures([sets[k] for k in full], TREES * STRIDE)
-                found = np.hstack([found, found[:, :DEEPEST]]).astype(">u4")
+                found = np.hstack([found, found[:, :DEEPEST]]).astype(VALUE)
                 for k, values in zip(full, found):
                     signed[k] = values.tobytes()
             digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype="<i8").reshape(-1, 2)
@@ -147,7 +149,7 @@ def link(sets: list[np.ndarray], percent: int) -> np.ndarray:
 def _orders(reps: DataFrame) -> DataFrame:
     """doc_id, n_shingles, tree and code, the first ``DEEPEST`` values of that order, whose bytes sort as the values do."""
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    code = F.substring("signature", 4 * STRIDE * F.col("tree") + 1, F.lit(4 * DEEPEST))
+    code = F.substring("signature", VALUE.itemsize * STRIDE * F.col("tree") + 1, F.lit(VALUE.itemsize * DEEPEST))
     return reps.select("doc_id", "n_shingles", "signature", trees).select("doc_id", "n_shingles", "tree", code.alias("code"))
 
 
@@ -171,7 +173,7 @@ def _neighbours(reps: DataFrame) -> DataFrame:
             if n == 0:
                 continue
             trees, ids = batch.column("tree").to_numpy(), batch.column("doc_id").to_numpy()
-            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=">u4").reshape(n, DEEPEST)
+            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=VALUE).reshape(n, DEEPEST)
             if last is None:
                 yield border(trees[0], codes[0], ids[0])
                 last = trees[:1] - 1, codes[:1], ids[:1], ids[0]
@@ -281,7 +283,7 @@ def _regions(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, n_shingles, region and crowded for regions of ``DEPTH`` values, and the same for the parts of crowded ones at the least depth at which they fit into a task."""
 
     def region(depth: Column) -> Column:
-        return F.xxhash64("tree", F.substring("code", F.lit(1), F.lit(4) * depth))
+        return F.xxhash64("tree", F.substring("code", F.lit(1), F.lit(VALUE.itemsize) * depth))
 
     shallow = orders.withColumn("region", region(F.lit(DEPTH)))
     sizes = shallow.groupBy("region").agg(F.count("*").alias("n"), (_parts(F.count("*"), F.sum("n_shingles")) > 1).alias("crowded")).where("n > 1").drop("n")

@@ -320,7 +320,7 @@ def test_forest_orders_and_depths(spark, monkeypatch):
     rows[30:] = rows[:30]
     rows[np.arange(30, 60), rng.integers(0, rows.shape[1], 30)] ^= 1
     wide = np.hstack([rows, rows[:, : near_dedup.DEEPEST]])
-    reps = spark.createDataFrame([(i, 10, bytearray(r.astype(">u4").tobytes())) for i, r in enumerate(wide)], "doc_id long, n_shingles long, signature binary")
+    reps = spark.createDataFrame([(i, 10, bytearray(r.astype(near_dedup.VALUE).tobytes())) for i, r in enumerate(wide)], "doc_id long, n_shingles long, signature binary")
     reps = reps.repartition(3)
     codes = {(i, t): tuple(wide[i, t * near_dedup.STRIDE :][: near_dedup.DEEPEST]) for i in range(60) for t in range(near_dedup.TREES)}
     shared = {}
