@@ -1,9 +1,11 @@
 """Line dedup with a log-template tree.
 
 Every line goes down a tree of fixed depth: its number of tokens, then its ``LEADING`` first tokens. Tokens with a digit are variable
-fields, ``<*>``. Inside a leaf that enough documents reach, the token that most lines have at a position is constant there; a line
-that agrees with ``AGREE`` of the leaf's positions has the leaf's template, with its other tokens as variable fields, any other line is
-its own template. Constants come from counts, so the tree does not depend on the order of lines, and no leaf is gathered anywhere.
+fields, ``<*>``. Inside a leaf that enough documents reach, the token that most of its different lines have at a position is constant there; a line
+that agrees with ``AGREE`` of the leaf's positions has the leaf's template, with its other tokens as variable fields. Lines that do not fit go
+one level down, ``LEVELS`` at most: where some fitted, the others are a node of their own, else each line follows the token that it shares with most
+others of its node, but not with all. A line that fits nowhere is its own template. Constants come from counts, so the
+tree does not depend on the order of lines or on copies, and no leaf is gathered anywhere.
 
 A template recurs if it is in at least ``MIN_DOCUMENTS`` documents that are not copies of one another. Copies are told by
 sketches: the smallest leaf hash of a document's lines under a few hash functions. Copies, near ones too, mostly
@@ -13,6 +15,8 @@ alone with at least half of their sketches, and each group of copies once. Lines
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ from corpusmill.session import cut_lineage
 
 LEADING = 3
 AGREE = 0.8
+#: Nodes on the way down from a leaf, the leaf included.
+LEVELS = 4
 MIN_DOCUMENTS = 5
 #: Of the documents with a template, the share that are no copies of others, for any sketch to tell them apart alone.
 MIN_UNRELATED = 0.5
@@ -57,23 +63,48 @@ def parsed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "entries", F.array(*[_least_leaf("entries", k) for k in range(SKETCHES)]).alias("sketches"))
 
 
+def _constants(counts: DataFrame) -> DataFrame:
+    """node and its constants, null where no token has a majority. ``counts``: node, p, token and n, the lines with the token there."""
+    best = counts.groupBy("node", "p").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("lines"))
+    constant = F.when(2 * F.col("top.n") > F.col("lines"), F.col("top.token"))
+    parts = best.select("node", F.struct("p", constant.alias("token")).alias("part"))
+    return parts.groupBy("node").agg(F.transform(F.sort_array(F.collect_list("part")), lambda e: e["token"]).alias("constants"))
+
+
+def _token_counts(lines: DataFrame) -> DataFrame:
+    return lines.select("node", F.posexplode("tokens").alias("p", "token")).groupBy("node", "p", "token").agg(F.count("*").alias("n"))
+
+
+def _below(judged: DataFrame) -> DataFrame:
+    """The lines that do not fit, under their nodes of the next level. Lines that share no token with a part of their node go."""
+    nodes = judged.groupBy("node").agg(F.count_if("fits").alias("fitted"), F.count_if(~F.col("fits")).alias("others")).where("others > 1")
+    rest = judged.where("NOT fits").join(nodes, "node").select("leaf", "own", "node", "tokens", "fitted", "others")
+    again = rest.where("fitted > 0").select("leaf", "own", F.xxhash64("node", F.lit("others")).alias("node"), "tokens")
+    split = rest.where("fitted = 0")
+    shared = _token_counts(split).where("n > 1")
+    each = split.select("node", "own", "others", F.posexplode("tokens").alias("p", "token")).join(shared, ["node", "p", "token"]).where("n < others")
+    most = each.groupBy("node", "own").agg(F.max(F.struct("n", (-F.col("p")).alias("p"), "token")).alias("most"))
+    down = split.join(most, ["node", "own"]).select("leaf", "own", F.xxhash64("node", "most.p", "most.token").alias("node"), "tokens")
+    return again.unionByName(down)
+
+
 def _templates(docs: DataFrame, within: DataFrame) -> DataFrame:
-    """leaf, own and template of the lines that have their leaf's template. Tokens are fetched once for each kind of line."""
-    kinds = within.groupBy("leaf", "own").agg(F.count("*").alias("w"), F.min(F.struct("doc_id", "n")).alias("at"))
+    """leaf, own and template of the lines that fit a node. Tokens are fetched once for each kind of line, and a kind counts once."""
+    kinds = within.groupBy("leaf", "own").agg(F.min(F.struct("doc_id", "n")).alias("at"))
     several = kinds.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf")
-    wanted = kinds.join(several, "leaf", "left_semi").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.n", "leaf", "own", "w")).alias("_wanted"))
+    wanted = kinds.join(several, "leaf", "left_semi").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.n", "leaf", "own")).alias("_wanted"))
     lines = docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(wanted, "doc_id")
     fetched = lines.select(F.split("text", "\n").alias("_lines"), F.explode("_wanted").alias("e"))
-    tokens = fetched.select("e.leaf", "e.own", "e.w", F.split(_masked(F.get("_lines", F.col("e.n"))), WORD_BREAKS).alias("tokens"))
-    tokens = cut_lineage(tokens)
-    counts = tokens.select("leaf", "w", F.posexplode("tokens").alias("p", "token")).groupBy("leaf", "p", "token").agg(F.sum("w").alias("n"))
-    best = counts.groupBy("leaf", "p").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
-    constant = F.when(2 * F.col("top.n") > F.col("all"), F.col("top.token"))
-    parts = best.select("leaf", F.struct("p", constant.alias("token")).alias("part"))
-    constants = parts.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list("part")), lambda e: e["token"]).alias("constants"))
+    tokens = fetched.select("e.leaf", "e.own", F.split(_masked(F.get("_lines", F.col("e.n"))), WORD_BREAKS).alias("tokens"))
     agree = F.size(F.filter(F.zip_with("tokens", "constants", lambda a, b: a == b), lambda same: F.coalesce(same, F.lit(False))))
-    fitting = tokens.join(constants, "leaf").where(agree >= AGREE * F.size("tokens"))
-    return fitting.select("leaf", "own", F.xxhash64("leaf", F.lit("template")).alias("_template")).distinct()
+    found, lines = [], cut_lineage(tokens.dropDuplicates(["leaf", "own"])).withColumn("node", F.col("leaf"))
+    for level in range(LEVELS):
+        judged = lines.join(_constants(_token_counts(lines)), "node").select("leaf", "own", "node", "tokens", (agree >= AGREE * F.size("tokens")).alias("fits"))
+        judged = cut_lineage(judged)
+        found.append(judged.where("fits").select("leaf", "own", F.xxhash64("node", F.lit("template")).alias("_template")))
+        if level + 1 < LEVELS:
+            lines = cut_lineage(_below(judged))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _recurring(told: DataFrame, documents: DataFrame) -> DataFrame:

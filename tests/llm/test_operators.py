@@ -486,6 +486,27 @@ def test_line_dedup_among_copies(spark):
     assert {i: r["text"] for i, r in got.items()} == {i: t.removesuffix("\n" + notice) for i, t in enumerate(texts)}
 
 
+def test_line_templates_of_one_leaf(spark):
+    """Templates that share their token count and leading tokens: a large and a small one, then three without a majority; single lines stay."""
+    kinds = [
+        ("the shop says that {} may be sent back within thirty days", 30),
+        ("the shop says our {} was made by hand in old towns", 20),
+        ("read this now or {} shall close its doors for ever", 12),
+        ("read this now while {} opens at noon on every day", 12),
+        ("read this now because {} keeps fresh bread under white cloth", 12),
+    ]
+    texts, wanted = [], []
+    for k, (form, n) in enumerate(kinds):
+        for i in range(n):
+            own = [" ".join(prose(seed + 100 * k + i, n_words).split()) for seed, n_words in ((9_000, 9), (7_000, 14))]
+            texts.append("\n".join([own[0], form.format(SYLLABLES[i % 10] + SYLLABLES[i // 10] + "q"), own[1]]))
+            wanted.append("\n".join(own))
+    texts.append("the shop says nobody else ever wrote these eight plain words\nread this now and never again said one lonely old sign")
+    wanted.append(texts[-1])
+    got = by_id(line_dedup.drop_recurring(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)))
+    assert [got[i]["text"] for i in range(len(texts))] == wanted
+
+
 def test_line_masking_of_long_tokens(spark):
     """Masking reads a token once: two megabytes without a space, with a digit elsewhere, take no noticeable time."""
     long = "x" * 2_000_000
