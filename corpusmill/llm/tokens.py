@@ -2,7 +2,8 @@
 
 The tokenizer cuts a text into pre-tokens that never cross a lone space between two other characters, and handles each by
 itself. Texts are therefore cut at such spaces, every distinct piece goes through the tokenizer once per worker, and a
-text's ids are the joined ids of its pieces. The result equals ``encode(text)``; the caches only save work and are bounded.
+text's ids are the joined ids of its pieces. The pieces of many texts are looked up together, each distinct one once, and Arrow
+puts their ids in place. The result equals ``encode(text)``; the caches only save work and are bounded.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 import regex
 
 END = (0).to_bytes(4, "little")
 PIECES = 700_000
 PRE_TOKENS = 400_000
+CHUNK_LETTERS = 1 << 21  # letters of texts whose pieces are looked up together
 
 _DOUBLE = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -28,7 +31,7 @@ _WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}
 #: The letter that stands for each byte: itself if printable, else the next free one from U+0100.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_SPACE = chr(_LETTERS[0x20])
+_TABLE = "".join(chr(_LETTERS.get(b, b)) for b in range(256))
 _MARKS = ".,;:!?"
 
 
@@ -79,37 +82,54 @@ class Encoder:
             return [first, *(p[1:] for p in rest)]
         return text.split(" ")
 
-    def _model(self, letters: str) -> bytes:
-        """The ids of one normalised pre-token in byte-level letters, through the tokenizer's model."""
-        return array("I", [t.id for t in self.model(letters)]).tobytes()
+    def _model(self, token: str) -> bytes:
+        """The ids of one normalised pre-token, through the tokenizer's model, which takes byte-level letters."""
+        return array("I", [t.id for t in self.model(token.encode().decode("latin-1").translate(_TABLE))]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """The ids of a piece: by its pre-tokens for Latin text, else by the tokenizer as a whole."""
-        if piece.isascii():  # a plain word, as it is or before a punctuation mark: its letters stand for themselves
-            word, mark = (piece, "") if piece[-1:].isalpha() else (piece[:-1], piece[-1:])
-            if word.isalpha() and (not mark or mark in _MARKS):
-                ids = self.tokens[_SPACE + word if self.spaced else word.lower()]
-                return ids + self.tokens[mark] if mark else ids
-        text = " " + piece if self.spaced else piece
-        if not _LATIN.fullmatch(piece):
-            return self._direct(text)
-        tokens = self.findall(text if self.spaced else text.lower())
-        return b"".join([self.tokens[t.encode().decode("latin-1").translate(_LETTERS)] for t in tokens])
+        if not (piece.isascii() or _LATIN.fullmatch(piece)):
+            return self._direct(" " + piece if self.spaced else piece)
+        text = piece if self.spaced else piece.lower()
+        word, mark = (text, "") if text[-1:].isalpha() else (text[:-1], text[-1:])
+        if word.isalpha() and (not mark or mark in _MARKS):  # a plain word, as it is or before a punctuation mark, is one pre-token
+            ids = self.tokens[" " + word if self.spaced else word]
+            return ids + self.tokens[mark] if mark else ids
+        return b"".join(map(self.tokens.__getitem__, self.findall(" " + text if self.spaced else text)))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order. Null counts as empty."""
-        get = self.pieces.__getitem__
+        held, letters = [], 0
+        for text in texts:
+            held.append(text or "")
+            letters += len(held[-1])
+            if letters >= CHUNK_LETTERS:
+                yield from self._encoded(held)
+                held, letters = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        heads, pieces, ends = [], [], []  # what comes before a text's pieces, all pieces, and where each text's end
         for text in texts:
-            text = text or ""
             if any(mark in text for mark in self.marks) and self.added.search(text):
-                yield self._direct(text)
-                continue
-            pieces = self._split(text)
-            if self.spaced:
-                first = pieces[0]
-                yield (self.firsts[first] if len(first) < 64 else self._direct(first)) + b"".join(map(get, pieces[1:]))
+                heads.append(self._direct(text))
+            elif self.spaced:
+                first, *rest = self._split(text)
+                heads.append(self.firsts[first] if len(first) < 64 else self._direct(first))
+                pieces += rest
             else:
-                yield b"".join(map(get, pieces))
+                heads.append(b"")
+                pieces += self._split(text)
+            ends.append(len(pieces))
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        ids = pa.array(map(self.pieces.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        offsets = memoryview(offsets).cast("q")
+        start = 0
+        for head, end in zip(heads, ends):
+            stop = offsets[end]
+            yield head + data[start:stop].to_pybytes() if stop > start else head
+            start = stop
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

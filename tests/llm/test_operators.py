@@ -143,6 +143,17 @@ def test_encoder_equals_tokenizer(name, spaced, monkeypatch):
     assert list(code.encode(texts)) == want
 
 
+def test_encoder_looks_up_each_piece_once():
+    """Also pieces for which there is no room in the cache: once for the texts that are encoded together, not at every place."""
+    code = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), spaced=False)
+    asked, piece = [], code._piece
+    code.pieces = tokens._Pieces(lambda p: asked.append(p) or piece(p), 0)
+    texts = ["one two two", None, "two Èa. two"]
+    assert list(code.encode(texts)) == [code._direct(t or "") for t in texts]
+    assert sorted(asked) == ["one", "two", "Èa."]
+
+
+
 def plain_ids(name):
     from tokenizers import Tokenizer
 
