@@ -332,6 +332,21 @@ def test_term_index(spark, monkeypatch):
         assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in hits} == want
 
 
+def test_term_vectors_need_no_shuffle(spark, monkeypatch):
+    """The index holds a row per text, over several blocks; rows of one id are one text, and texts without id count once for each word."""
+    monkeypatch.setattr(term_index, "BLOCK_BYTES", 8)
+    texts = [(1, "b a b"), (2, "a c"), (2, "C d, c"), (None, "a e"), (None, "e"), (3, ""), (4, None), (5, "é 1é x_y")]
+    rows = spark.createDataFrame(texts, "chunk_id long, content string")
+    vectors = term_index.term_vectors(term_index.build_term_index(rows))
+    assert "Exchange" not in vectors._jdf.queryExecution().executedPlan().toString()
+    idf = {1: 1504.0, 2: 1099.0, 3: 811.0}  # by the number of texts, of nine
+    assert {r["chunk_id"]: list(zip(r["terms"], r["vector"])) for r in vectors.collect()} == {
+        1: [("a", idf[3]), ("b", 2 * idf[1])],
+        2: [("a", idf[3]), ("c", 3 * idf[1]), ("d", idf[1])],
+        5: [("1é", idf[1]), ("x", idf[1]), ("y", idf[1]), ("é", idf[1])],
+    }
+
+
 def test_text_retrieval_and_prompts(spark):
     texts = ["Machine learning finds patterns in data.", "The weather is sunny today.", "Cooking pasta takes ten minutes."]
     chunks = spark.createDataFrame([(i, t, "s", 0) for i, t in enumerate(texts)], "doc_id long, content string, source_ref string, chunk_index int")
