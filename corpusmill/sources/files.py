@@ -20,9 +20,9 @@ def extension(path: Column) -> Column:
     return F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("")
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Paths and sizes below ``path``; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=pattern).load(path).select("path", "length")
 
 
 def first_files(spark: SparkSession, path: str, limit: int) -> DataFrame:
@@ -45,6 +45,9 @@ def _limited(rows: DataFrame, spark: SparkSession, path: str, limit: int | None)
     return rows.join(chosen, "_path", "left_semi")
 
 
+#: Bytes of CSV files that one task takes, about.
+PART_BYTES = 16 << 20
+
 # A CSV field, and the rest of a line that begins inside a quoted one. The loops are possessive, so they neither recurse nor turn back.
 _QUOTED = r'[^"]*+(?:""[^"]*+)*+'
 _FIELD = rf'(?:"{_QUOTED}"[^,]*+|(?!")[^,]*+)'
@@ -105,17 +108,18 @@ def _with_state(rows: DataFrame, order: WindowSpec) -> DataFrame:
     return rows.withColumn("_before", _state_before(F.col("_opens"), F.col("_stays"), order)).drop("_turns")
 
 
-def _quoted_records(lines: DataFrame) -> DataFrame:
+def _quoted_records(lines: DataFrame, parts: int) -> DataFrame:
     """Records of files with line breaks inside quotes: _path, _place (of the first line), record. A field that is never closed ends
     with the file, which is taken to end with a line break.
 
     Every split scans its own lines and says what it does to the state, as a line does. A window over the splits of a file, one row each,
-    gives the state at each split's start, and its lines take theirs from it. A record begins at a line before which no field is open.
+    gives the state at each split's start, and its lines take theirs from it. A record begins at a line before which no field is open. Splits, and then records, are dealt to ``parts``
+    tasks, so that a task holds a few splits at most however large the files are.
     """
     within = Window.partitionBy("_path", "_split").orderBy("_place")
     over_splits = Window.partitionBy("_path").orderBy("_split")
     earlier_splits = over_splits.rowsBetween(Window.unboundedPreceding, -1)
-    scanned = _with_state(lines, within)
+    scanned = _with_state(lines.repartition(parts, "_path", "_split"), within)
 
     def after(state: Column) -> Column:
         return F.when(state, F.col("_stays")).otherwise(F.col("_opens"))
@@ -134,8 +138,9 @@ def _quoted_records(lines: DataFrame) -> DataFrame:
     known = known.withColumn("_inside", F.when(F.col("_open"), F.col("_before.opened")).otherwise(F.col("_before.closed")))
     first = F.last(F.when(~F.col("_inside"), F.col("_place")), ignorenulls=True).over(within)
     named = known.withColumn("_first", F.coalesce(first, F.col("_from")))
-    parts = F.sort_array(F.collect_list(F.struct("_place", F.concat("value", "_end").alias("text"))))
-    text, unclosed = F.array_join(parts["text"], ""), F.max_by(after(F.col("_inside")), "_place")
+    pieces = F.sort_array(F.collect_list(F.struct("_place", F.concat("value", "_end").alias("text"))))
+    text, unclosed = F.array_join(pieces["text"], ""), F.max_by(after(F.col("_inside")), "_place")
+    named = named.select("_path", "_first", "_place", "value", "_end", "_inside", "_opens", "_stays").repartition(parts, "_path", "_first")
     records = named.groupBy("_path", F.col("_first").alias("_place")).agg(text.alias("record"), unclosed.alias("_unclosed"))
     return records.withColumn("record", F.when(F.col("_unclosed"), F.col("record")).otherwise(_without_end(F.col("record")))).drop("_unclosed")
 
@@ -152,13 +157,15 @@ def csv_rows(spark: SparkSession, path: str, *, limit: int | None = None, patter
     than the header are filled with empty texts, further values are dropped.
     """
     lines = _csv_lines(spark, path, pattern, limit)
-    marked = lines.where("_opens").select("_path").distinct()
+    size = list_files(spark, path, pattern).agg(F.sum("length")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, int(size // PART_BYTES) + 1)
+    marked = F.broadcast(lines.where("_opens").select("_path").distinct())  # a row per file
     plain = lines.join(marked, "_path", "left_anti").select("_path", "_place", _without_end(F.col("value")).alias("record"))
-    records = plain.unionByName(_quoted_records(lines.join(marked, "_path", "left_semi")))
+    records = plain.unionByName(_quoted_records(lines.join(marked, "_path", "left_semi"), parts))
     records = records.where("record <> ''")
     first = records.groupBy("_path").agg(F.min("_place").alias("_first"), F.min_by("record", "_place").alias("_header"))
     headers = first.select("_path", "_first", _csv_values(F.regexp_replace("_header", "^\ufeff", "")).alias("header"))
-    rows = records.join(headers, "_path").where(F.col("_place") > F.col("_first"))
+    rows = records.join(F.broadcast(headers), "_path").where(F.col("_place") > F.col("_first"))
     missing = F.array_repeat(F.lit(""), F.size("header"))
     values = F.slice(F.concat(_csv_values(F.col("record")), missing), 1, F.size("header"))
     return rows.select("_path", "header", values.alias("values")), headers.select("_path", "header")

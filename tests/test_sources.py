@@ -99,6 +99,16 @@ def test_files(spark, tmp_path):
     assert {r["collection"]: r["row_count"] for r in kinds.collect()} == {"csv": 2, "json": 3, "txt": 1}
 
 
+def test_csv_tasks_follow_the_size_of_files(spark, tmp_path, monkeypatch):
+    """Splits and records are dealt to as many tasks as the bytes ask for, and no join brings a file's records to one task."""
+    (tmp_path / "a.csv").write_text("id,note\n" + "".join(f'{i},"line {i}\nnext"\n' for i in range(200)))
+    monkeypatch.setattr(files, "PART_BYTES", 100)
+    rows, _ = files.csv_rows(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert ", 38), REPARTITION_BY_NUM" in plan and "BroadcastHashJoin [_path" in plan
+    assert sorted(int(r["values"][0]) for r in rows.collect()) == list(range(200))
+
+
 def test_csv_files_keep_their_own_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name,age\n"x ""y"" z",3\n\nbob\n')
     (tmp_path / "b.csv").write_text("city,zip\n,7,9\n")
