@@ -20,7 +20,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut_lineage
+from corpusmill.session import cut_lineage, in_parts
 
 LEADING = 3
 AGREE = 0.8
@@ -32,6 +32,8 @@ MIN_UNRELATED = 0.5
 SKETCHES = 8
 SALTS = 32
 VARIABLE = "<*>"
+#: Tokens of different lines that one task takes on the way down the tree.
+TOKENS_PER_TASK = 400_000
 
 
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
@@ -75,15 +77,17 @@ def _token_counts(lines: DataFrame) -> DataFrame:
     return lines.select("node", F.posexplode("tokens").alias("p", "token")).groupBy("node", "p", "token").agg(F.count("*").alias("n"))
 
 
-def _below(judged: DataFrame) -> DataFrame:
-    """The lines that do not fit, under their nodes of the next level. Lines that share no token with a part of their node go."""
+def _below(judged: DataFrame, size: int) -> DataFrame:
+    """The lines that do not fit, under their nodes of the next level. Lines that share no token with a part of their node go. ``size``: tokens of all lines."""
     nodes = judged.groupBy("node").agg(F.count_if("fits").alias("fitted"), F.count_if(~F.col("fits")).alias("others")).where("others > 1")
     rest = judged.where("NOT fits").join(nodes, "node").select("leaf", "own", "node", "tokens", "fitted", "others")
+    rest = in_parts(cut_lineage(rest), size, TOKENS_PER_TASK)
     again = rest.where("fitted > 0").select("leaf", "own", F.xxhash64("node", F.lit("others")).alias("node"), "tokens")
     split = rest.where("fitted = 0")
     shared = _token_counts(split).where("n > 1")
     each = split.select("node", "own", "others", F.posexplode("tokens").alias("p", "token")).join(shared, ["node", "p", "token"]).where("n < others")
     most = each.groupBy("node", "own").agg(F.max(F.struct("n", (-F.col("p")).alias("p"), "token")).alias("most"))
+    most = in_parts(cut_lineage(most), size, TOKENS_PER_TASK)
     down = split.join(most, ["node", "own"]).select("leaf", "own", F.xxhash64("node", "most.p", "most.token").alias("node"), "tokens")
     return again.unionByName(down)
 
@@ -97,13 +101,16 @@ def _templates(docs: DataFrame, within: DataFrame) -> DataFrame:
     fetched = lines.select(F.split("text", "\n").alias("_lines"), F.explode("_wanted").alias("e"))
     tokens = fetched.select("e.leaf", "e.own", F.split(_masked(F.get("_lines", F.col("e.n"))), WORD_BREAKS).alias("tokens"))
     agree = F.size(F.filter(F.zip_with("tokens", "constants", lambda a, b: a == b), lambda same: F.coalesce(same, F.lit(False))))
-    found, lines = [], cut_lineage(tokens.dropDuplicates(["leaf", "own"])).withColumn("node", F.col("leaf"))
+    found, lines = [], cut_lineage(tokens.dropDuplicates(["leaf", "own"]))
+    size = lines.agg(F.sum(F.size("tokens"))).first()[0] or 0  # of all levels: lines only get fewer on the way down
+    lines = lines.withColumn("node", F.col("leaf"))
     for level in range(LEVELS):
+        lines = in_parts(lines, size, TOKENS_PER_TASK)
         judged = lines.join(_constants(_token_counts(lines)), "node").select("leaf", "own", "node", "tokens", (agree >= AGREE * F.size("tokens")).alias("fits"))
-        judged = cut_lineage(judged)
+        judged = in_parts(cut_lineage(judged), size, TOKENS_PER_TASK)
         found.append(judged.where("fits").select("leaf", "own", F.xxhash64("node", F.lit("template")).alias("_template")))
         if level + 1 < LEVELS:
-            lines = cut_lineage(_below(judged))
+            lines = cut_lineage(_below(judged, size))
     return functools.reduce(DataFrame.unionByName, found)
 
 

@@ -60,6 +60,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_parts(df: DataFrame, size: int, most: int) -> DataFrame:
+    """``df``, a table in the shared folder, in no more partitions than its ``size`` asks for at ``most`` a task. In a single one, grouping and joining need no exchange."""
+    return df.coalesce(max(1, -(-size // most)))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: like cut_lineage, for tables of which columns are read one by one."""
     path = scratch_path(df.sparkSession, label)

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, html_extract, licenses, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, token_files, tokens
+from corpusmill.llm import components, decontaminate, html_extract, licenses, line_dedup, near_dedup, packing, quality, sharding, suffix_dedup, token_files, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -323,6 +323,48 @@ def plain_prefix(a, b):
     return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
 
 
+def tasks_run(spark, label, work):
+    """Tasks that ``work`` runs under 64 shuffle partitions that are not joined."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    tracker = spark.sparkContext.statusTracker()
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup(label, label)
+    try:
+        result = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(label) for s in tracker.getJobInfo(j).stageIds]
+    return result, sum(i.numCompletedTasks for i in infos if i)
+
+
+@pytest.mark.parametrize("most", [50_000, 40])
+def test_components_take_tasks_by_their_edges(spark, monkeypatch, most):
+    """A few edges need few tasks in every round, however many the shuffle partitions are; more edges than a task's are dealt out."""
+    monkeypatch.setattr(components, "EDGES_PER_TASK", most)
+    edges = [(k + 1, k) for k in range(60)] + [(100, k) for k in range(100, 180)] + [(205, 204), (204, 205), (300, 300)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    found, ran = tasks_run(spark, f"components-{most}", lambda: {r["node"]: r["root"] for r in components.components(frame).collect()})
+    assert found == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 180)}, 204: 204, 205: 204}
+    assert most < 100 or 0 < ran < 6 * 64
+
+
+def test_line_levels_take_tasks_by_their_tokens(spark, monkeypatch):
+    """Levels of few lines need few tasks, and lines dealt out to more tasks get the same templates."""
+    pairs = [(w, v) for w in "pqrs" for v in "klm"]
+    alone = lambda w, v: "\n".join(f"{a}{w}{v} {b} alone" for a in "abc" for b in "de")
+    texts = [f"open the door of room {w} in the old {v} house again today\n{'left' if w < 'r' else 'right'} the gate of\n{alone(w, v)}" for w, v in pairs]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    run = lambda: sorted(map(tuple, line_dedup.recurring_lines(docs).collect()))
+    found, ran = tasks_run(spark, "lines", run)
+    assert {n for _, n in found} == {0, 1} and 0 < ran < 40 * 64
+    monkeypatch.setattr(line_dedup, "TOKENS_PER_TASK", 60)
+    assert run() == found
+
+
 def test_forest_orders_and_depths(spark, monkeypatch):
     """Runs of sorted orders equal the sets that agree in DEPTH values; neighbours are next in order; crowded regions are read as deep as it takes."""
     monkeypatch.setattr(near_dedup, "FAMILY_SETS", 4)
