@@ -17,9 +17,9 @@ import pyarrow as pa
 import regex
 
 END = (0).to_bytes(4, "little")
-PIECES = 700_000
-PRE_TOKENS = 400_000
-CHUNK_LETTERS = 1 << 21  # letters of texts whose pieces are looked up together
+PIECES = 800_000
+PRE_TOKENS = 300_000
+CHUNK_LETTERS = 1 << 22  # letters of texts whose pieces are looked up together
 
 _DOUBLE = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -32,6 +32,7 @@ _WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _TABLE = "".join(chr(_LETTERS.get(b, b)) for b in range(256))
+_LETTER_SPACE = _TABLE[0x20]
 _MARKS = ".,;:!?"
 
 
@@ -84,7 +85,8 @@ class Encoder:
 
     def _model(self, token: str) -> bytes:
         """The ids of one normalised pre-token, through the tokenizer's model, which takes byte-level letters."""
-        return array("I", [t.id for t in self.model(token.encode().decode("latin-1").translate(_TABLE))]).tobytes()
+        letters = token.replace(" ", _LETTER_SPACE) if token.isascii() and token.isprintable() else token.encode().decode("latin-1").translate(_TABLE)
+        return array("I", [t.id for t in self.model(letters)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """The ids of a piece: by its pre-tokens for Latin text, else by the tokenizer as a whole."""
@@ -93,8 +95,8 @@ class Encoder:
         text = piece if self.spaced else piece.lower()
         word, mark = (text, "") if text[-1:].isalpha() else (text[:-1], text[-1:])
         if word.isalpha() and (not mark or mark in _MARKS):  # a plain word, as it is or before a punctuation mark, is one pre-token
-            ids = self.tokens[" " + word if self.spaced else word]
-            return ids + self.tokens[mark] if mark else ids
+            token = " " + word if self.spaced else word
+            return (self.pieces.get(word) or self.tokens[token]) + self.tokens[mark] if mark else self._model(token)
         return b"".join(map(self.tokens.__getitem__, self.findall(" " + text if self.spaced else text)))
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:

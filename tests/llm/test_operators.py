@@ -154,6 +154,15 @@ def test_encoder_looks_up_each_piece_once():
 
 
 
+def test_encoder_keeps_a_plain_word_once():
+    """A word without a mark is a piece already; with a mark, it takes the ids from there."""
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        code = tokens.Encoder(public_tokenizers.path(name), spaced=spaced)
+        texts = ["a one two Été", "a one, two. été! three; ONE"]
+        assert list(code.encode(texts)) == [code._direct(t) for t in texts]
+        assert {t.strip() for t in code.tokens} & {"one", "two", "three", "Été", "été"} == {"three", "été"} - ({"été"} if not spaced and "été" in code.pieces else set())
+
+
 def plain_ids(name):
     from tokenizers import Tokenizer
 
